@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontaminate, pieces, warc
+from . import attribution, decontaminate, pieces, recompression, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op3_token_counts": op3_token_counts,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op9_sentencepiece": op9_sentencepiece,
     }
@@ -81,5 +86,20 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents)),
+g AS (SELECT doc_id, r, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY s) AS again FROM g),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM m WHERE again),
+k AS (SELECT r, list(p) AS gone FROM c GROUP BY r),
+o AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN k USING (r))
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
