@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, forest, pieces, quality, recompression, simhash, suffixes, warc
+from . import attribution, decontaminate, forest, licenses, pieces, quality, recompression, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(_table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_token_counts": op3_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_licenses": op5_licenses,
         "op6_decontamination": op6_decontamination,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_quality": op8_quality,
