@@ -88,14 +88,15 @@ def encode_decode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
                     numbers = np.frombuffer(ids, "<u4").tolist()
                     decoded = chunks.sp.decode(numbers)
                     n.append(len(numbers))
-                    ids_out.append(hashlib.sha256(ids).hexdigest() if digests else numbers)
+                    ids_out.append(hashlib.sha256(ids).hexdigest() if digests else ids)
                     text_out.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
                 if digests:
                     made = [pa.array(n, pa.int64()), pa.array(ids_out, pa.string()), pa.array(text_out, pa.string())]
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    made = [pa.array(ids_out, pa.list_(pa.int32())), pa.array(text_out, pa.string())]
+                    ends = np.cumsum([0, *n]).astype(np.int32)
+                    made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids_out), "<i4"))), pa.array(text_out, pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([*kept, *made], [*part.schema.names[:-1], *names])
 
