@@ -16,18 +16,18 @@ full names, in a second shuffle.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import bucket, least, mix, span, sums, texts, words
 from .scratch import stored
-from .shared import CHUNK, FILTER_BITS, by_bucket, passes, settled, shared_filter
+from .shared import CHUNK, FILTER_BITS, by_bucket, by_text, pack, passes, sent, settled, shared_filter, small, unpack
 
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
@@ -130,7 +130,7 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
             first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
             lead = ids[row[np.flatnonzero(first)]][np.cumsum(first) - 1] if len(key) else ids[:0]
             later = ids[row] > lead
-            out = [(int(i % buckets), i, h, places) for i, h, places in settled(ids, hashes, row[later], at[later])]
+            out = settled(ids, hashes, row[later], at[later], buckets)
             key, name, row, at = key[~later], name[~later], row[~later], at[~later]
             order = np.lexsort((at, row))
             key, name, row, at = key[order], name[order], row[order], at[order]
@@ -141,9 +141,8 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
                 head = np.flatnonzero(head)
                 count = np.diff(head, append=len(k))
                 used, local = np.unique(r[head], return_inverse=True)
-                small = lambda x: x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint16 if x.max() < 65536 else np.uint32)
-                out.append((b, None, None, pickle.dumps((k[head], a[head].astype(np.uint32), small(count), small(local), ids[used], hashes[used], name[mine]), 5)))
-            return _batch(out)
+                out.append((b, False, pack(k[head], small(a[head]), small(count), small(local), ids[used], hashes[used], name[mine])))
+            return sent(out)
 
         held, known, size, done = [], [], 0, 0
         for ids, data, offsets in texts(batches):
@@ -165,9 +164,9 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
-            settled_ones = batch.column(1).is_valid()
-            yield batch.filter(settled_ones).select(["_id", "_hash", "places"])
-            got += [pickle.loads(x) for x in batch.filter(batch.column(1).is_null()).column(3).to_pylist()]
+            done = batch.column(1)
+            yield batch.filter(done)
+            got += [unpack(x) for x in batch.filter(pc.invert(done)).column(2).to_pylist()]
         if not got:
             return
         base = np.cumsum([0] + [len(g[4]) for g in got])
@@ -184,27 +183,17 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
         first[1:] = (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1])
         mine = ids[row[order]]
         later = order[mine > mine[np.flatnonzero(first)][np.cumsum(first) - 1]]
-        out = list(settled(ids, hashes, row[later], at[later]))
-        for k in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out[k : k + 20_000]], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["_id", "_hash", "places"])
+        yield sent(settled(ids, hashes, row[later], at[later], buckets))
 
-    sent = rows.mapInArrow(send, "bucket int, _id long, _hash long, places binary")
-    found = sent.repartitionById(buckets, "bucket").mapInArrow(meet, "_id long, _hash long, places binary")
-    return found.groupBy("_id", "_hash").agg(F.collect_list("places").alias("_places"))
+    return by_text(rows, send, meet, buckets)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "_id", "_hash", "places"])
-
-
-def covered(places: list[bytes] | None, count: int, n: int) -> np.ndarray:
+def covered(places: bytes, count: int, n: int) -> np.ndarray:
     """Which of count units some window of n covers."""
     edge = np.zeros(count + 1, np.int32)
-    for blob in places or ():
-        start = np.frombuffer(blob, "<u4").astype(np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n, -1)
+    start = np.frombuffer(places, "<u4").astype(np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n, -1)
     return np.cumsum(edge[:-1]) > 0
 
 

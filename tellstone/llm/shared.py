@@ -1,7 +1,6 @@
 """Which keys occur in more than one document: a filter of fixed size, made by one shuffle."""
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -9,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .names import bucket
+from .names import bucket, mix
 
 #: Bits of the filter, 16 MB.  Where more keys are shared than it can tell apart, it lets
 #: more pass; what passes is verified, so results are the same.
@@ -19,6 +18,29 @@ CHUNK = 16 << 20
 LOW = np.uint64((1 << 40) - 1)
 
 PARTS = "bucket int, blob binary"
+KINDS = [np.dtype(k) for k in ("u1", "<u2", "<u4", "<u8", "<i8")]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers or long integers, with six bytes before each."""
+    return b"".join(bytes([KINDS.index(a.dtype), a.shape[1] if a.ndim > 1 else 0]) + len(a).to_bytes(4, "little") + a.tobytes() for a in arrays)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        kind, width, n = KINDS[blob[at]], blob[at + 1], int.from_bytes(blob[at + 2 : at + 6], "little")
+        size = n * max(1, width)
+        a = np.frombuffer(blob, kind, size, at + 6)
+        out.append(a.reshape(n, width) if width else a)
+        at += 6 + size * kind.itemsize
+    return out
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """x in as few bytes as its largest number needs."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
 def parts(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -48,14 +70,14 @@ def shared_filter(docs: DataFrame, keys: Callable, n: int, bits: int = FILTER_BI
             rows = []
             for b, mine in by_bucket(where, n):
                 low = found[mine] & LOW
-                rows.append((b, pickle.dumps(((low & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), np.packbits(marks[mine])), 5)))
+                rows.append((b, pack((low & np.uint64(0xFFFFFFFF)).astype("<u4"), (low >> np.uint64(32)).astype("u1"), np.packbits(marks[mine]))))
             yield parts(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low, high, marks = pickle.loads(blob)
+                low, high, marks = unpack(blob)
                 held.setdefault(b, []).append((low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), np.unpackbits(marks, count=len(low)).astype(bool)))
         for b, got in held.items():
             all_keys = np.concatenate([g[0] for g in got])
@@ -81,10 +103,48 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table.reshape(-1)[place] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def settled(row_ids: np.ndarray, row_hashes: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """_id, _hash and the sorted starts, as 32-bit integers, for each row that has any."""
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order].astype("<u4")
-    edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, int)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(row_ids[row[a]]), int(row_hashes[row[a]]), at[a:b].tobytes()
+SENT = "bucket int, settled boolean, blob binary"
+FOUND = "_id long, _hash long, _places binary"
+
+
+def sent(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "settled", "blob"])
+
+
+def settled(ids: np.ndarray, hashes: np.ndarray, row: np.ndarray, values: np.ndarray, n: int) -> list[tuple[int, bool, bytes]]:
+    """values (a row of 32-bit numbers for each of row), packed for the n buckets of the texts they belong to."""
+    used, local = np.unique(row, return_inverse=True)
+    out = []
+    for b, mine in by_bucket((mix(ids[used].view(np.uint64)) % np.uint64(n))[local], n):
+        mine = mine[np.argsort(local[mine], kind="stable")]
+        texts, count = np.unique(local[mine], return_counts=True)
+        out.append((b, True, pack(ids[used[texts]], hashes[used[texts]], small(count), values[mine].astype("<u4"))))
+    return out
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of the bucket, with all its values."""
+    got = [unpack(x) for batch in batches for x in batch.column(2).to_pylist()]
+    if not got:
+        return
+    ids, hashes, count = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3))
+    values = np.concatenate([g[3] for g in got])
+    del got
+    order = np.lexsort((hashes, ids))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    values = values[np.argsort(np.repeat(rank, count), kind="stable")]
+    ids, hashes, stop = ids[order], hashes[order], np.cumsum(count[order])
+    last = np.ones(len(ids), bool)
+    last[:-1] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
+    ids, hashes, stop = ids[last], hashes[last], stop[last]
+    start = np.concatenate([[0], stop[:-1]])
+    for k in range(0, len(ids), 10_000):
+        places = [values[a:b].tobytes() for a, b in zip(start[k : k + 10_000].tolist(), stop[k : k + 10_000].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 10_000]), pa.array(hashes[k : k + 10_000]), pa.array(places, pa.binary())], ["_id", "_hash", "_places"])
+
+
+def by_text(docs: DataFrame, send: Callable, meet: Callable, n: int) -> DataFrame:
+    """_id, _hash and all _places of each text: what send settles, and what meet finds in the buckets of the rest."""
+    return docs.mapInArrow(send, SENT).repartitionById(n, "bucket").mapInArrow(meet, SENT).repartitionById(n, "bucket").mapInArrow(gather, FOUND)

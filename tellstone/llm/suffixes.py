@@ -11,18 +11,18 @@ left contexts, tell which windows are equal.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .names import bucket, span, sums, texts
-from .recompression import _batch, _rows, with_places
-from .shared import CHUNK, FILTER_BITS, by_bucket, passes, shared_filter
+from .recompression import _rows, with_places
+from .shared import CHUNK, FILTER_BITS, by_bucket, by_text, pack, passes, sent, settled, shared_filter, small, unpack
 
 #: Bytes of the gram that a sampled suffix starts with.
 GRAM = 32
@@ -213,16 +213,18 @@ def repeated(key: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
-def _intervals(row: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """_id, _hash and merged intervals of each row that has any."""
+def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and intervals, with those of a row that touch or overlap made one."""
     order = np.lexsort((start, row))
     row, start, stop = row[order], start[order], stop[order]
-    edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, int)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        s, e = start[a:b], np.maximum.accumulate(stop[a:b])
-        gap = np.flatnonzero(s[1:] > e[:-1])
-        pairs = np.stack([s[np.append(0, gap + 1)], e[np.append(gap, len(e) - 1)]], 1)
-        yield int(ids[row[a]]), int(hashes[row[a]]), pairs.astype("<u4").tobytes()
+    if not len(row):
+        return row, np.zeros((0, 2), np.int64)
+    # Rows are set far apart, so that a running maximum doesn't cross them.
+    far = (np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))) * (int(stop.max()) + 2)
+    reach = np.maximum.accumulate(stop + far)
+    gap = np.flatnonzero((start + far)[1:] > reach[:-1])
+    first, last = np.append(0, gap + 1), np.append(gap, len(row) - 1)
+    return row[first], np.stack([start[first], (reach - far)[last]], 1)
 
 
 def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFrame:
@@ -271,15 +273,14 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
             later = ids[row[order]] > lead
             later[1:] |= ~new[1:] & same(ids[row]) & same(hashes[row]) & (place[order][1:] > place[order][:-1])
             gone = order[later]
-            out = [(i % buckets, i, h, places) for i, h, places in _intervals(row[gone], first[gone], last[gone] + n, ids, hashes)]
+            out = settled(ids, hashes, *merged(row[gone], first[gone], last[gone] + n), buckets)
             mine = order[~later]
             for b, part in by_bucket(bucket(key[mine], buckets), buckets):
                 part = mine[part]
                 used, local = np.unique(row[part], return_inverse=True)
-                small = lambda x: x.astype(np.uint32)
                 packed = squeeze.compress(slices(context, at[part], length[part]).tobytes())
-                out.append((b, None, None, pickle.dumps((key[part], small(local), ids[used], hashes[used], small(first[part]), (place - first)[part].astype(np.uint16), (last - first)[part].astype(np.uint16), packed), 5)))
-            return _batch(out)
+                out.append((b, False, pack(key[part], small(local), ids[used], hashes[used], small(first[part]), small((place - first)[part]), small((last - first)[part]), np.frombuffer(packed, np.uint8))))
+            return sent(out)
 
         held, known, size, done = [], [], 0, 0
         for ids, data, offsets in texts(batches):
@@ -303,8 +304,9 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
-            yield batch.filter(batch.column(1).is_valid()).select(["_id", "_hash", "places"])
-            got += [pickle.loads(x) for x in batch.filter(batch.column(1).is_null()).column(3).to_pylist()]
+            done = batch.column(1)
+            yield batch.filter(done)
+            got += [unpack(x) for x in batch.filter(pc.invert(done)).column(2).to_pylist()]
         if not got:
             return
         base = np.cumsum([0] + [len(g[2]) for g in got])
@@ -312,8 +314,8 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
         key = np.concatenate([g[0] for g in got])
         row = np.concatenate([g[1].astype(np.int64) + b for g, b in zip(got, base, strict=False)])
         first, left, more = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in (4, 5, 6))
-        unpack = zstandard.ZstdDecompressor()
-        context = np.concatenate([np.frombuffer(unpack.decompress(g[7]), np.uint8) for g in got])
+        zstd = zstandard.ZstdDecompressor()
+        context = np.concatenate([np.frombuffer(zstd.decompress(g[7].tobytes()), np.uint8) for g in got])
         del got
         length = more + n
         at = np.cumsum(length) - length
@@ -330,22 +332,17 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
         r, o_first = np.nonzero(edge == 1)
         _, o_stop = np.nonzero(edge == -1)
         place = (first + left)[r]
-        out = list(_intervals(row[r], place - o_stop + 1, place - o_first + n, ids, hashes))
-        for k in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out[k : k + 20_000]], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["_id", "_hash", "places"])
+        yield sent(settled(ids, hashes, *merged(row[r], place - o_stop + 1, place - o_first + n), buckets))
 
-    sent = rows.mapInArrow(send, "bucket int, _id long, _hash long, places binary")
-    found = sent.repartitionById(buckets, "bucket").mapInArrow(meet, "_id long, _hash long, places binary")
-    return found.groupBy("_id", "_hash").agg(F.collect_list("places").alias("_places"))
+    return by_text(rows, send, meet, buckets)
 
 
-def removed(places: list[bytes] | None, size: int) -> np.ndarray:
+def removed(places: bytes, size: int) -> np.ndarray:
     """Which bytes of a text of this size the intervals cover."""
     edge = np.zeros(size + 1, np.int32)
-    for blob in places or ():
-        pairs = np.frombuffer(blob, "<u4").reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 1], -1)
+    pairs = np.frombuffer(places, "<u4").reshape(-1, 2)
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, pairs[:, 1], -1)
     return np.cumsum(edge[:-1]) > 0
 
 
