@@ -82,6 +82,11 @@ def array_mean(x: Column) -> Column:
 
 
 def array_stdev(x: Column) -> Column:
-    n = F.size(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    return F.when(n > 1, F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - total / n) * (v - total / n)) / (n - 1))).otherwise(0.0)
+    """Of the sample, in one pass; 0 with fewer than two values."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a: Column, v: Column) -> Column:
+        n, d = a["n"] + 1, v - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d / n).alias("mean"), (a["m2"] + d * d * (n - 1) / n).alias("m2"))
+
+    return F.aggregate(x, start, step, lambda a: F.when(a["n"] > 1, F.sqrt(a["m2"] / (a["n"] - 1))).otherwise(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import aim_error, array_mean, array_stdev, desired, distance, mean, median, ramp, ratio, spherical, stdev
-from ..operators.timeline import bursts, last_island, sessions, top_n, within
+from ..operators.timeline import bursts, last_island, sessions, within
 from ..params import Params
 from ..schema import Matches, indexed, team_of
 
@@ -18,19 +18,28 @@ def _evidence(kind: str, round_num, tick, detail, target=None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), round_num.cast("int").alias("round"), tick.cast("int").alias("tick"), detail.alias("detail"), (F.lit("") if target is None else target).cast("string").alias("target"))
 
 
-def _first(evidence: DataFrame, order: list[str], n: int) -> DataFrame:
-    """evidence (match_id, steamid, item, order columns): the first n items of each player as an array."""
-    kept = top_n(evidence, ID, [F.col(c) for c in order], n)
-    listed = kept.groupBy(*ID).agg(F.sort_array(F.collect_list(F.struct(*order, "item"))).alias("_all"))
-    return listed.select(*ID, F.transform("_all", lambda x: x["item"]).alias("evidence"))
+def _gathered(when: Column | None, order: list[str], item: Column, n: int) -> Column:
+    """The first n items of the group, in the order of the columns, as an aggregate."""
+    row = F.struct(*order, item.alias("item"))
+    return F.slice(F.transform(F.sort_array(F.collect_list(row if when is None else F.when(when, row))), lambda x: x["item"]), 1, n)
 
 
-def _signal(df: DataFrame, name: str, value: Column, samples: Column, confident: Column, raw: dict[str, Column], evidence: DataFrame | None = None) -> DataFrame:
+def _signal(df: DataFrame, name: str, value: Column, samples: Column, confident: Column, raw: dict[str, Column], evidence: Column | str | None = None) -> DataFrame:
     pairs = [x for k, v in raw.items() for x in (F.lit(k), v.cast("double"))]
-    out = df.select(*ID, F.lit(name).alias("name"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"), F.coalesce(samples.cast("long"), F.lit(0)).alias("samples"), F.coalesce(confident, F.lit(False)).alias("confident"), F.create_map(*pairs).alias("raw"))
-    if evidence is None:
-        return out.withColumn("evidence", F.array().cast(EVIDENCE_LIST))
-    return out.join(evidence, ID, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(EVIDENCE_LIST)))
+    none = F.array().cast(EVIDENCE_LIST)
+    shown = none if evidence is None else F.coalesce(F.col(evidence) if isinstance(evidence, str) else evidence, none)
+    return df.select(*ID, F.lit(name).alias("name"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"), F.coalesce(samples.cast("long"), F.lit(0)).alias("samples"), F.coalesce(confident, F.lit(False)).alias("confident"), F.create_map(*pairs).alias("raw"), shown.alias("evidence"))
+
+
+def _several(df: DataFrame, entries: list[tuple]) -> DataFrame:
+    """Several signals of each row at once, so that what they are made of is computed once."""
+    kind = "struct<name:string,value:double,samples:bigint,confident:boolean,raw:map<string,double>,evidence:" + EVIDENCE_LIST + ">"
+    each = []
+    for name, value, samples, confident, raw, shown in entries:
+        pairs = [x for k, v in raw.items() for x in (F.lit(k), v.cast("double"))]
+        evidence = F.coalesce(F.col(shown) if isinstance(shown, str) else shown, F.array().cast(EVIDENCE_LIST))
+        each.append(F.struct(F.lit(name).alias("name"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"), F.coalesce(samples.cast("long"), F.lit(0)).alias("samples"), F.coalesce(confident, F.lit(False)).alias("confident"), F.create_map(*pairs).alias("raw"), evidence.alias("evidence")).cast(kind))
+    return df.select(*ID, F.explode(F.array(*each)).alias("s")).select(*ID, "s.*")
 
 
 def _own_kills(m: Matches) -> DataFrame:
@@ -82,18 +91,21 @@ def snap(m: Matches, p: Params) -> DataFrame:
     frames = frames.withColumn("hit", F.aggregate("marks", F.struct(none.alias("off"), none.alias("from"), none.alias("to")), scan))
     frames = frames.withColumn("locked", F.filter("known", lambda e: e <= c.jitter_window_deg))
     frames = frames.withColumn("snapped", F.col("hit.to").isNotNull()).withColumn("windowed", F.size("locked") >= c.min_jitter_samples).withColumn("flat", F.col("windowed") & (array_stdev(F.col("locked")) <= c.low_jitter_deg))
-    counted = _roster(m, frames.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("snapped").alias("snaps"), F.count_if(F.col("peak") >= c.extreme_angvel).alias("extreme"), F.avg("peak").alias("peak"), F.count_if("windowed").alias("locked"), F.count_if("flat").alias("flat")))
-    zero = {k: F.coalesce(k, F.lit(0)) for k in ("n", "snaps", "extreme", "locked", "flat")}
-    counted = counted.withColumns(zero)
-    snap_rate, flat_rate = ratio("snaps", "n"), ratio("flat", "locked")
-    value = F.greatest(ramp(snap_rate, 0.05, 0.45), 0.7 * ramp(ratio("extreme", "n"), 0.10, 0.60))
     off, on = F.element_at("errors", F.col("hit.from")), F.element_at("errors", F.col("hit.to"))
     detail = F.format_string("error %.1f deg -> %.1f deg in %d tick(s), peak %.0f deg/tick", off, on, F.col("hit.to") - F.col("hit.from"), F.col("peak"))
-    shown = frames.filter("snapped").select(*ID, "seq", _evidence("snap", F.col("round_num"), F.element_at("f", F.col("hit.to"))["tick"], detail, F.col("victim_name")).alias("item"))
-    flat = frames.filter("flat").select(*ID, "seq", _evidence("flat_aim", F.col("round_num"), F.col("kill_tick"), F.format_string("mean error %.2f deg, deviation %.3f deg in %d ticks", array_mean(F.col("locked")), array_stdev(F.col("locked")), F.size("locked")), F.col("victim_name")).alias("item"))
-    a = _signal(counted, "snap", value, F.col("n"), F.col("n") >= 5, {"kills": F.col("n"), "snaps": F.col("snaps"), "snap_rate": F.round(snap_rate, 3), "extreme_flicks": F.col("extreme"), "mean_peak": F.round(F.coalesce("peak", F.lit(0.0)), 1)}, _first(shown, ["seq"], 8))
-    b = _signal(counted, "jitter", ramp(flat_rate, 0.15, 0.70), F.col("locked"), F.col("locked") >= 4, {"windows": F.col("locked"), "flat": F.col("flat"), "flat_rate": F.round(flat_rate, 3)}, _first(flat, ["seq"], 6))
-    return a.unionByName(b)
+    snapped = _evidence("snap", F.col("round_num"), F.element_at("f", F.col("hit.to"))["tick"], detail, F.col("victim_name"))
+    still = _evidence("flat_aim", F.col("round_num"), F.col("kill_tick"), F.format_string("mean error %.2f deg, deviation %.3f deg in %d ticks", array_mean(F.col("locked")), array_stdev(F.col("locked")), F.size("locked")), F.col("victim_name"))
+    counted = _roster(m, frames.groupBy(*ID).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("snapped").alias("snaps"), F.count_if(F.col("peak") >= c.extreme_angvel).alias("extreme"), F.avg("peak").alias("peak"), F.count_if("windowed").alias("locked"), F.count_if("flat").alias("flat"),
+        _gathered(F.col("snapped"), ["seq"], snapped, 8).alias("seen"), _gathered(F.col("flat"), ["seq"], still, 6).alias("stills"),
+    )).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "snaps", "extreme", "locked", "flat")})
+    snap_rate, flat_rate = ratio("snaps", "n"), ratio("flat", "locked")
+    value = F.greatest(ramp(snap_rate, 0.05, 0.45), 0.7 * ramp(ratio("extreme", "n"), 0.10, 0.60))
+    entries = [
+        ("snap", value, F.col("n"), F.col("n") >= 5, {"kills": F.col("n"), "snaps": F.col("snaps"), "snap_rate": F.round(snap_rate, 3), "extreme_flicks": F.col("extreme"), "mean_peak": F.round(F.coalesce("peak", F.lit(0.0)), 1)}, "seen"),
+        ("jitter", ramp(flat_rate, 0.15, 0.70), F.col("locked"), F.col("locked") >= 4, {"windows": F.col("locked"), "flat": F.col("flat"), "flat_rate": F.round(flat_rate, 3)}, "stills"),
+    ]
+    return _several(counted, entries)
 
 
 def reaction(m: Matches, p: Params) -> DataFrame:
@@ -106,22 +118,27 @@ def reaction(m: Matches, p: Params) -> DataFrame:
     good = both.filter("a_is_alive and b_is_alive").filter(distance("a_x", "a_y", "a_z", "b_x", "b_y", "b_z") <= c.max_range).filter(aim_error("a_", "b_") <= wide)
     found = good.groupBy(*ID, "seq", "victim", "victim_name", "kill_tick", "round_num").agg(F.sort_array(F.collect_list("tick"), asc=False).alias("ok"))
     found = found.withColumn("exposure", last_island(F.col("ok"), F.col("kill_tick"), 5)).filter("exposure is not null").drop("ok")
-    before = found.withColumn("tick", F.col("exposure") - 6).join(_side(ticks, "steamid", "a_"), [*ID, "tick"]).join(_side(ticks, "victim", "b_"), ["match_id", "victim", "tick"]).filter(aim_error("a_", "b_") <= wide)
-    found = found.join(before.select(*ID, "seq"), [*ID, "seq"], "left_anti")
-    rest = found.withColumn("tick", F.explode(F.sequence(F.col("exposure") - c.steady_ticks, F.col("exposure")))).join(_side(ticks, "steamid", "a_"), [*ID, "tick"])
-    w = W.partitionBy(*ID, "seq").orderBy("tick")
-    rest = rest.withColumn("speed", spherical(F.lag("a_pitch").over(w), F.lag("a_yaw").over(w), "a_pitch", "a_yaw"))
-    steady = rest.groupBy(*ID, "seq").agg(F.count(F.lit(1)).alias("n"), F.max("speed").alias("peak")).filter((F.col("n") >= 3) & (F.col("peak") <= c.steady_deg_per_tick))
-    found = found.join(steady.select(*ID, "seq"), [*ID, "seq"], "left_semi")
-    fired = within(found, m.shots.select(*ID, F.col("tick").alias("shot")), ID, "exposure", "kill_tick", "shot", 256).groupBy(*ID, "seq").agg(F.min("shot").alias("shot"))
-    found = found.join(fired, [*ID, "seq"], "left").withColumn("ms", p.ms(F.coalesce("shot", "kill_tick") - F.col("exposure"))).filter("ms between 0 and 2000")
-    shown = found.filter(F.col("ms") <= c.impossible_ms).select(*ID, "seq", _evidence("reaction", F.col("round_num"), F.col("exposure"), F.format_string("shot %.0f ms after the target came into view", "ms"), F.col("victim_name")).alias("item"))
-    counted = _roster(m, found.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.median("ms").alias("median"), F.avg("ms").alias("mean"), stdev("ms").alias("sd"), F.count_if(F.col("ms") <= c.fast_ms).alias("fast"), F.count_if(F.col("ms") <= c.impossible_ms).alias("impossible")))
+    # What stands just before the exposure: the error six ticks earlier, and how fast the aim moved.
+    near = found.withColumn("tick", F.explode(F.sequence(F.col("exposure") - F.lit(max(6, c.steady_ticks)), F.col("exposure"))))
+    near = near.join(_side(ticks, "steamid", "a_"), [*ID, "tick"]).join(_side(ticks, "victim", "b_"), ["match_id", "victim", "tick"], "left")
+    keys = [*ID, "seq", "victim_name", "kill_tick", "round_num", "exposure"]
+    near = near.groupBy(*keys).agg(
+        F.max(F.when((F.col("tick") == F.col("exposure") - 6) & F.col("b_x").isNotNull(), aim_error("a_", "b_"))).alias("before"),
+        F.sort_array(F.collect_list(F.when(F.col("tick") >= F.col("exposure") - c.steady_ticks, F.struct("tick", "a_pitch", "a_yaw")))).alias("f"),
+    ).filter((F.col("before").isNull() | (F.col("before") > wide)) & (F.size("f") >= 3))
+    moved = F.transform(F.sequence(F.lit(2), F.size("f")), lambda i: spherical(F.element_at("f", i - 1)["a_pitch"], F.element_at("f", i - 1)["a_yaw"], F.element_at("f", i)["a_pitch"], F.element_at("f", i)["a_yaw"]))
+    near = near.filter(F.array_max(moved) <= c.steady_deg_per_tick).drop("before", "f")
+    spread = near.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("exposure") / 256), F.floor(F.col("kill_tick") / 256))))
+    shots = m.shots.select(*ID, F.col("tick").alias("shot"), F.floor(F.col("tick") / 256).alias("_stretch"))
+    fired = spread.join(shots, [*ID, "_stretch"], "left").groupBy(*keys).agg(F.min(F.when(F.col("shot").between(F.col("exposure"), F.col("kill_tick")), F.col("shot"))).alias("shot"))
+    found = fired.withColumn("ms", p.ms(F.coalesce("shot", "kill_tick") - F.col("exposure"))).filter("ms between 0 and 2000")
+    item = _evidence("reaction", F.col("round_num"), F.col("exposure"), F.format_string("shot %.0f ms after the target came into view", "ms"), F.col("victim_name"))
+    counted = _roster(m, found.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.median("ms").alias("median"), F.avg("ms").alias("mean"), stdev("ms").alias("sd"), F.count_if(F.col("ms") <= c.fast_ms).alias("fast"), F.count_if(F.col("ms") <= c.impossible_ms).alias("impossible"), _gathered(F.col("ms") <= c.impossible_ms, ["seq"], item, 8).alias("seen")))
     enough = F.coalesce(F.col("n") >= c.min_samples, F.lit(False))
     consistency = ramp("sd", c.low_stdev_ms * 2.0, c.low_stdev_ms * 0.4) * F.when(F.col("median") > c.fast_ms * 1.5, 0.3).otherwise(1.0)
     value = F.when(enough, F.greatest(ramp(ratio("impossible", "n"), 0.05, 0.40), 0.85 * ramp(ratio("fast", "n"), 0.25, 0.80), 0.75 * consistency)).otherwise(0.0)
     raw = {"samples": F.coalesce("n", F.lit(0)), "median_ms": F.when(enough, F.round("median", 1)), "mean_ms": F.when(enough, F.round("mean", 1)), "sd_ms": F.when(enough, F.round("sd", 1)), "fast_rate": F.when(enough, F.round(ratio("fast", "n"), 3)), "impossible": F.when(enough, F.col("impossible"))}
-    return _signal(counted, "reaction", value, F.col("n"), enough, raw, _first(shown, ["seq"], 8))
+    return _signal(counted, "reaction", value, F.col("n"), enough, raw, "seen")
 
 
 def tracking(m: Matches, p: Params) -> DataFrame:
@@ -161,15 +178,15 @@ def tracking(m: Matches, p: Params) -> DataFrame:
         )
 
     folded = blocks.withColumn("r", F.aggregate("rows", empty, step)).select(*ID, "r.episodes", "r.locked", "r.items")
-    counted = folded.groupBy(*ID).agg(F.sum("episodes").alias("episodes"), F.sum("locked").alias("locked"))
+    items = F.sort_array(F.transform(F.flatten(F.collect_list("items")), lambda i: F.struct(i["rn"].alias("rn"), i["target"].alias("who"), F.struct(i["kind"].alias("kind"), i["round"].alias("round"), i["tick"].alias("tick"), i["detail"].alias("detail"), i["target"].alias("target")).alias("item"))))
+    counted = folded.groupBy(*ID).agg(F.sum("episodes").alias("episodes"), F.sum("locked").alias("locked"), F.slice(F.transform(items, lambda i: i["item"]), 1, 8).alias("seen"))
     alive = m.ticks.groupBy(*ID).agg(F.count_if("is_alive").alias("alive"), F.count(F.lit(1)).alias("rows"))
     rounds = m.rounds.groupBy("match_id").agg(F.count(F.lit(1)).alias("rounds"))
     has = pairs.select(*ID).distinct().withColumn("has", F.lit(True))
     counted = _roster(m, counted).join(alive, ID, "left").join(rounds, "match_id", "left").join(has, ID, "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("episodes", "locked")}).withColumn("rounds", F.greatest(F.coalesce("rounds", F.lit(0)), F.lit(1)))
     per_round, share = ratio("episodes", "rounds"), ratio("locked", "alive")
     samples = F.when(F.col("has"), F.col("alive")).otherwise(F.coalesce("rows", F.lit(0)))
-    shown = folded.select(*ID, F.explode("items").alias("i")).select(*ID, F.col("i.rn").alias("rn"), F.col("i.target").alias("who"), F.struct("i.kind", "i.round", "i.tick", "i.detail", "i.target").alias("item"))
-    a = _signal(counted, "tracking", F.greatest(ramp(per_round, 0.10, 0.90), 0.8 * ramp(share, 0.003, 0.04)), samples, F.col("has") & (F.col("alive") >= 2000), {"episodes": F.col("episodes"), "episodes_per_round": F.round(per_round, 2), "locked_ticks": F.col("locked"), "share_of_life": F.round(share, 4)}, _first(shown, ["rn", "who"], 8))
+    a = _signal(counted, "tracking", F.greatest(ramp(per_round, 0.10, 0.90), 0.8 * ramp(share, 0.003, 0.04)), samples, F.col("has") & (F.col("alive") >= 2000), {"episodes": F.col("episodes"), "episodes_per_round": F.round(per_round, 2), "locked_ticks": F.col("locked"), "share_of_life": F.round(share, 4)}, "seen")
     return a.unionByName(_prefire(m, p, ticks, has))
 
 
@@ -179,10 +196,10 @@ def _prefire(m: Matches, p: Params, ticks: DataFrame, has: DataFrame) -> DataFra
     at = kills.withColumn("off", F.explode(F.array(*map(F.lit, offsets)))).withColumn("tick", F.col("kill_tick") - F.col("off"))
     both = at.join(_side(ticks, "steamid", "a_"), [*ID, "tick"]).join(_side(ticks, "victim", "b_"), ["match_id", "victim", "tick"]).filter("a_is_alive and b_is_alive").withColumn("error", aim_error("a_", "b_"))
     seen = both.groupBy(*ID, "seq", "victim_name", "kill_tick", "round_num").agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("error")).filter(F.col("n") == len(offsets)).withColumn("hit", F.col("error") <= p.tracking.lock_deg)
-    shown = seen.filter("hit").select(*ID, "seq", _evidence("prefire", F.col("round_num"), F.col("kill_tick") - offsets[-1], F.format_string("aim was on the target already, at most %.1f deg off", "error"), F.col("victim_name")).alias("item"))
-    counted = _roster(m, seen.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "hits")})
+    item = _evidence("prefire", F.col("round_num"), F.col("kill_tick") - offsets[-1], F.format_string("aim was on the target already, at most %.1f deg off", "error"), F.col("victim_name"))
+    counted = _roster(m, seen.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"), _gathered(F.col("hit"), ["seq"], item, 6).alias("seen"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "hits")})
     rate = ratio("hits", "n")
-    return _signal(counted, "prefire", ramp(rate, 0.15, 0.65), F.col("n"), F.col("n") >= 5, {"kills": F.col("n"), "hits": F.col("hits"), "rate": F.round(rate, 3)}, _first(shown, ["seq"], 6))
+    return _signal(counted, "prefire", ramp(rate, 0.15, 0.65), F.col("n"), F.col("n") >= 5, {"kills": F.col("n"), "hits": F.col("hits"), "rate": F.round(rate, 3)}, "seen")
 
 
 def recoil(m: Matches, p: Params) -> DataFrame:
@@ -196,12 +213,13 @@ def recoil(m: Matches, p: Params) -> DataFrame:
     both = shots.join(hit, [*ID, "burst"]).join(_side(ticks, "steamid", "a_"), [*ID, "tick"]).join(_side(ticks, "victim", "b_"), ["match_id", "victim", "tick"]).filter("b_is_alive").withColumn("error", aim_error("a_", "b_"))
     series = both.groupBy(*ID, "burst", "start", "victim_name").agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean"), stdev("error").alias("sd")).filter(F.col("n") >= c.min_shots)
     series = series.withColumn("perfect", (F.col("mean") <= c.perfect_error_deg) & (F.col("sd") <= c.flat_spread_deg))
-    rounds = m.rounds.withColumn("_r", F.row_number().over(W.partitionBy("match_id").orderBy("start_tick", "number")))
-    rounded = series.filter("perfect").join(rounds, "match_id").filter("start between start_tick and end_tick").groupBy(*ID, "burst").agg(F.min_by("number", "_r").alias("round_num"))
-    shown = series.filter("perfect").join(rounded, [*ID, "burst"], "left").select(*ID, "start", _evidence("recoil", F.coalesce("round_num", F.lit(0)), F.col("start"), F.format_string("%d shots with mean error %.2f deg and spread %.2f deg", "n", "mean", "sd"), F.col("victim_name")).alias("item"))
-    counted = _roster(m, series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("perfect").alias("perfect"), F.avg("mean").alias("error"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "perfect")})
+    # The round of a burst is the first that holds its start; rounds of a match are few.
+    listed = m.rounds.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("start_tick", "number", "end_tick"))).alias("rounds"))
+    series = series.join(listed, "match_id", "left").withColumn("round_num", F.coalesce(F.try_element_at(F.filter("rounds", lambda r: F.col("start").between(r["start_tick"], r["end_tick"])), F.lit(1))["number"], F.lit(0)))
+    item = _evidence("recoil", F.col("round_num"), F.col("start"), F.format_string("%d shots with mean error %.2f deg and spread %.2f deg", "n", "mean", "sd"), F.col("victim_name"))
+    counted = _roster(m, series.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("perfect").alias("perfect"), F.avg("mean").alias("error"), _gathered(F.col("perfect"), ["start"], item, 6).alias("seen"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "perfect")})
     rate = ratio("perfect", "n")
-    return _signal(counted, "recoil", ramp(rate, 0.15, 0.65), F.col("n"), F.col("n") >= c.min_bursts, {"bursts": F.col("n"), "perfect": F.col("perfect"), "rate": F.round(rate, 3), "mean_error": F.round("error", 2)}, _first(shown, ["start"], 6))
+    return _signal(counted, "recoil", ramp(rate, 0.15, 0.65), F.col("n"), F.col("n") >= c.min_bursts, {"bursts": F.col("n"), "perfect": F.col("perfect"), "rate": F.round(rate, 3), "mean_error": F.round("error", 2)}, "seen")
 
 
 def movement(m: Matches, p: Params) -> DataFrame:
@@ -216,28 +234,28 @@ def movement(m: Matches, p: Params) -> DataFrame:
     deltas = [spherical("p0", "y0", f"p{k}n", f"y{k}n") for k in range(1, c.return_window_ticks + 1)]
     back = F.coalesce(*[F.when(d <= c.return_tolerance_deg, d) for d in deltas])
     rows = rows.withColumn("back", F.when(F.col("jump") >= c.snap_back_deg, back))
-    counted = _roster(m, rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("alive"), F.count_if("pair").alias("n"), F.count_if(F.col("jump") >= c.teleport_deg).alias("teleports"), F.count_if(F.col("jump") >= c.snap_back_deg).alias("jumps"), F.count_if(F.col("back").isNotNull()).alias("returns")))
+    counted = _roster(m, rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("alive"), F.count_if("pair").alias("n"), F.count_if(F.col("jump") >= c.teleport_deg).alias("teleports"), F.count_if(F.col("jump") >= c.snap_back_deg).alias("jumps"), F.count_if(F.col("back").isNotNull()).alias("returns"), _gathered(F.col("back").isNotNull(), ["seq"], _evidence("silent_aim", F.col("round_num"), F.col("tick"), F.format_string("aim jumped %.0f deg and came back to %.1f deg", "jump", "back")), 8).alias("seen")))
     enough = F.coalesce((F.col("alive") >= 32) & (F.col("n") >= c.min_ticks), F.lit(False))
     samples = F.when(F.coalesce("alive", F.lit(0)) < 32, F.coalesce("alive", F.lit(0))).otherwise(F.col("n"))
     rate = ratio("returns", "jumps")
     value = F.when(enough, F.greatest(0.5 * ramp(ratio("teleports", "n"), 0.0005, 0.006), F.when(F.col("jumps") >= 8, ramp(rate, 0.05, 0.30)).otherwise(0.0))).otherwise(0.0)
-    shown = rows.filter("back is not null").select(*ID, "seq", _evidence("silent_aim", F.col("round_num"), F.col("tick"), F.format_string("aim jumped %.0f deg and came back to %.1f deg", "jump", "back")).alias("item")).join(counted.filter(enough).select(*ID), ID, "left_semi")
     raw = {"ticks": samples, **{k: F.when(enough, F.col(k)) for k in ("teleports", "jumps", "returns")}, "return_rate": F.when(enough, F.round(rate, 3))}
-    return _signal(counted, "movement", value, samples, enough & (F.col("jumps") >= 8), raw, _first(shown, ["seq"], 8))
+    return _signal(counted, "movement", value, samples, enough & (F.col("jumps") >= 8), raw, F.when(enough, F.col("seen")))
 
 
 def context(m: Matches, p: Params) -> DataFrame:
     """Shares of kills through smoke, through walls and without a scope."""
-    c, own = p.context, _own_kills(m)
-    counted = _roster(m, own.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("through_smoke").alias("smoke"), F.count_if(F.col("penetrated") != 0).alias("wall"), F.count_if("noscope").alias("noscope"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "smoke", "wall", "noscope")})
+    c = p.context
+    why = F.array_compact(F.array(F.when(F.col("through_smoke"), "through smoke"), F.when(F.col("penetrated") != 0, F.format_string("through a wall (%d)", "penetrated")), F.when(F.col("noscope"), "without a scope")))
+    own = _own_kills(m).withColumn("why", why)
+    item = _evidence("context", F.col("round_num"), F.col("tick"), F.concat(F.array_join("why", ", "), F.lit(" with "), F.coalesce(F.nullif("weapon", F.lit("")), F.lit("a weapon"))), F.col("victim_name"))
+    counted = own.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count_if("through_smoke").alias("smoke"), F.count_if(F.col("penetrated") != 0).alias("wall"), F.count_if("noscope").alias("noscope"), _gathered(F.size("why") > 0, ["seq"], item, 6).alias("seen"))
+    counted = _roster(m, counted).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "smoke", "wall", "noscope")})
     parts = F.sort_array(F.array(*[ramp(ratio(k, "n"), r * 0.5, r * 2.0) for k, r in (("smoke", c.smoke_rate), ("wall", c.wallbang_rate), ("noscope", c.noscope_rate))]), asc=False)
     enough = F.col("n") >= c.min_kills
     value = F.when(enough, F.least(F.lit(1.0), parts[0] * 0.7 + parts[1] * 0.3)).otherwise(0.0)
-    why = F.array_compact(F.array(F.when(F.col("through_smoke"), "through smoke"), F.when(F.col("penetrated") != 0, F.format_string("through a wall (%d)", "penetrated")), F.when(F.col("noscope"), "without a scope")))
-    shown = own.withColumn("why", why).filter(F.size("why") > 0).join(counted.filter(enough).select(*ID), ID, "left_semi")
-    shown = shown.select(*ID, "seq", _evidence("context", F.col("round_num"), F.col("tick"), F.concat(F.array_join("why", ", "), F.lit(" with "), F.coalesce(F.nullif("weapon", F.lit("")), F.lit("a weapon"))), F.col("victim_name")).alias("item"))
     raw = {"kills": F.col("n")} | {k: F.when(enough, F.col(k)) for k in ("smoke", "wall", "noscope")} | {f"{k}_rate": F.when(enough, F.round(ratio(k, "n"), 3)) for k in ("smoke", "wall", "noscope")}
-    return _signal(counted, "context", value, F.col("n"), F.col("n") >= c.min_kills * 2, raw, _first(shown, ["seq"], 6))
+    return _signal(counted, "context", value, F.col("n"), F.col("n") >= c.min_kills * 2, raw, F.when(enough, F.col("seen")))
 
 
 def burst(m: Matches, p: Params) -> DataFrame:
@@ -247,15 +265,14 @@ def burst(m: Matches, p: Params) -> DataFrame:
     found = bursts(own, [*ID, "round_num"], "tick", ["seq"], window, c.min_burst_kills)
     gaps = own.withColumn("gap", p.ms(F.col("tick") - F.lag("tick").over(W.partitionBy(*ID, "round_num").orderBy("tick", "seq"))))
     counted = _roster(m, gaps.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("round_num").alias("rounds"), F.count("gap").alias("gaps"), F.median("gap").alias("median"), F.stddev_samp("gap").alias("sd")))
-    counted = counted.join(found.groupBy(*ID).agg(F.count(F.lit(1)).alias("bursts"), F.max("size").alias("biggest")), ID, "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "bursts", "biggest", "gaps")})
+    counted = counted.join(found.groupBy(*ID).agg(F.count(F.lit(1)).alias("bursts"), F.max("size").alias("biggest"), _gathered(None, ["round_num", "end"], _evidence("burst", F.col("round_num"), F.col("start"), F.format_string("%d kills in %.0f ms", "size", p.ms(F.col("end") - F.col("start")).cast("double"))), 6).alias("seen")), ID, "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "bursts", "biggest", "gaps")})
     enough = F.col("n") >= c.min_kills
     rate = ratio("bursts", F.greatest("rounds", F.lit(1)))
     relative = F.when(F.col("median") != 0, F.coalesce("sd", F.lit(0.0)) / F.col("median")).otherwise(1.0)
     regularity = F.when((F.col("gaps") >= c.min_gap_samples) & (F.col("median") <= c.fast_gap_ms), ramp(relative, 0.55, 0.15)).otherwise(0.0)
     value = F.when(enough, F.greatest(ramp(rate, 0.08, 0.45), 0.7 * regularity)).otherwise(0.0)
-    shown = found.join(counted.filter(enough).select(*ID), ID, "left_semi").select(*ID, "round_num", F.col("end").alias("at"), _evidence("burst", F.col("round_num"), F.col("start"), F.format_string("%d kills in %.0f ms", "size", p.ms(F.col("end") - F.col("start")).cast("double"))).alias("item"))
     raw = {"kills": F.col("n"), "bursts": F.when(enough, F.col("bursts")), "biggest": F.when(enough, F.col("biggest")), "bursts_per_round": F.when(enough, F.round(rate, 3)), "median_gap_ms": F.when(enough, F.round("median", 1)), "gap_sd_ms": F.when(enough, F.round("sd", 1))}
-    return _signal(counted, "burst", value, F.col("n"), enough & (F.col("n") >= c.min_kills * 2) & (F.col("rounds") >= 5), raw, _first(shown, ["round_num", "at"], 6))
+    return _signal(counted, "burst", value, F.col("n"), enough & (F.col("n") >= c.min_kills * 2) & (F.col("rounds") >= 5), raw, F.when(enough, F.col("seen")))
 
 
 def cursor(m: Matches, p: Params) -> DataFrame:
@@ -269,17 +286,16 @@ def cursor(m: Matches, p: Params) -> DataFrame:
     rows = rows.withColumns({"step": step, "jerk": F.when((F.col("n") > 3) & (step >= c.min_speed), jerk / F.greatest(step, F.lit(1e-6))), "speed": step / F.greatest(F.lit(1), F.col("tick") - back("tick", 1))})
     rows = rows.withColumn("next", F.lead("speed").over(w)).withColumn("next_tick", F.col("tick"))
     rows = rows.withColumn("stop", F.coalesce((F.col("speed") >= c.jump_speed) & (F.col("next") < c.stop_speed), F.lit(False)))
-    stats = _roster(m, rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("rows"), F.min_by("tick", "seq").alias("first"), F.count("jerk").alias("n"), F.median("jerk").alias("jerk"), F.median(F.when(F.col("jerk").isNotNull(), F.col("step"))).alias("speed"), F.count("speed").alias("speeds"), F.count_if(F.col("speed") >= c.jump_speed).alias("jumps"), F.count_if("stop").alias("stops"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("rows", "n", "speeds", "jumps", "stops")})
+    stats = _roster(m, rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("rows"), F.min_by("tick", "seq").alias("first"), F.count("jerk").alias("n"), F.median("jerk").alias("jerk"), F.median(F.when(F.col("jerk").isNotNull(), F.col("step"))).alias("speed"), F.count("speed").alias("speeds"), F.count_if(F.col("speed") >= c.jump_speed).alias("jumps"), F.count_if("stop").alias("stops"), _gathered(F.col("stop"), ["seq"], _evidence("cursor_jump", F.lit(1), F.col("tick"), F.format_string("jump of %.0f px/tick, then a stop (%.2f px/tick)", "speed", "next")), 6).alias("seen"))).withColumns({k: F.coalesce(k, F.lit(0)) for k in ("rows", "n", "speeds", "jumps", "stops")})
     long = F.col("rows") >= c.min_samples
     enough = long & (F.col("n") >= c.min_samples // 4)
     value = F.when(enough, ramp("jerk", c.human_jerk, c.smooth_jerk)).otherwise(0.0)
-    one = stats.filter(enough).withColumn("value", value).filter("value >= 0.5").select(*ID, F.array(_evidence("tremor", F.lit(1), F.col("first"), F.format_string("median jerk %.3f over %d moving samples", "jerk", "n"))).alias("evidence"))
-    out = _signal(stats, "tremor", value, F.when(long, F.col("n")).otherwise(F.col("rows")), enough & (F.col("n") >= c.min_samples // 2), {"moving": F.when(enough, F.col("n")), "median_jerk": F.when(enough, F.round("jerk", 4)), "median_speed": F.when(enough, F.round("speed", 3))}, one)
+    one = F.when(enough & (value >= 0.5), F.array(_evidence("tremor", F.lit(1), F.col("first"), F.format_string("median jerk %.3f over %d moving samples", "jerk", "n"))))
+    tremor = ("tremor", value, F.when(long, F.col("n")).otherwise(F.col("rows")), enough & (F.col("n") >= c.min_samples // 2), {"moving": F.when(enough, F.col("n")), "median_jerk": F.when(enough, F.round("jerk", 4)), "median_speed": F.when(enough, F.round("speed", 3))}, one)
     rate = ratio("stops", "jumps")
     value = F.when(long, F.greatest(0.4 * ramp(ratio("jumps", "speeds"), 0.001, 0.02), F.when(F.col("jumps") >= 5, ramp(rate, 0.15, 0.6)).otherwise(0.0))).otherwise(0.0)
-    shown = rows.filter("stop").join(stats.filter(long).select(*ID), ID, "left_semi").select(*ID, "seq", _evidence("cursor_jump", F.lit(1), F.col("tick"), F.format_string("jump of %.0f px/tick, then a stop (%.2f px/tick)", "speed", "next")).alias("item"))
-    out = out.unionByName(_signal(stats, "cursor_jump", value, F.when(long, F.col("speeds")).otherwise(F.col("rows")), long & (F.col("speeds") >= c.min_samples) & (F.col("jumps") >= 5), {k: F.when(long, v) for k, v in {"samples": F.col("speeds"), "jumps": F.col("jumps"), "stops": F.col("stops"), "stop_rate": F.round(rate, 3)}.items()}, _first(shown, ["seq"], 6)))
-    return out.unionByName(_keys(m, p, rows, stats))
+    jump = ("cursor_jump", value, F.when(long, F.col("speeds")).otherwise(F.col("rows")), long & (F.col("speeds") >= c.min_samples) & (F.col("jumps") >= 5), {k: F.when(long, v) for k, v in {"samples": F.col("speeds"), "jumps": F.col("jumps"), "stops": F.col("stops"), "stop_rate": F.round(rate, 3)}.items()}, F.when(long, F.col("seen")))
+    return _several(stats, [tremor, jump]).unionByName(_keys(m, p, rows, stats))
 
 
 def _keys(m: Matches, p: Params, rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -296,6 +312,6 @@ def _keys(m: Matches, p: Params, rows: DataFrame, stats: DataFrame) -> DataFrame
     samples = F.when(~long, F.col("rows")).when(F.col("presses") < c.min_presses, F.col("presses")).otherwise(F.col("n"))
     relative = F.when(F.col("mean") != 0, F.coalesce("sd", F.lit(0.0)) / F.col("mean")).otherwise(1.0)
     value = F.when(enough, ramp(relative, c.human_key_spread, c.robot_key_spread)).otherwise(0.0)
-    one = counted.filter(enough).withColumn("value", value).filter("value >= 0.5").select(*ID, F.array(_evidence("key_timing", F.lit(1), F.col("first"), F.format_string("%d presses of %.0f ms on average, relative spread %.3f", "n", "mean", relative))).alias("evidence"))
+    one = F.when(enough & (value >= 0.5), F.array(_evidence("key_timing", F.lit(1), F.col("first"), F.format_string("%d presses of %.0f ms on average, relative spread %.3f", "n", "mean", relative))))
     raw = {"presses": F.when(enough, F.col("n")), "mean_ms": F.when(enough, F.round("mean", 1)), "sd_ms": F.when(enough, F.round("sd", 1)), "relative_spread": F.when(enough, F.round(relative, 3)), "median_gap_ms": F.when(enough, F.round(p.ms(F.col("gap")), 1))}
     return _signal(counted, "key_timing", value, samples, enough & (F.col("n") >= c.min_presses * 2), raw, one)
