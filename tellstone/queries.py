@@ -419,6 +419,132 @@ def match_scores(spark, d):
     return found.select("steamid", "name", "kills", "deaths", "headshots", "shots", "score", F.array_join("flags", ",").alias("flags"), F.size("evidence").alias("evidence")).orderBy(F.desc("score"), "steamid")
 
 
+@query(f"""WITH {E} SELECT tick, user_id + 1 AS steamid, value AS x, k::DOUBLE AS yaw, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END AS team, event_type <> 'error' AS is_alive FROM e""")
+def ingest_records(spark, d):
+    """Events as JSON lines under other field names, read back by the ingest source."""
+    from .sources import ingest
+
+    rows = events(spark, d)
+    body = F.struct(F.lit("tick").alias("type"), F.col("tick").alias("frame"), (F.col("user_id") + 1).cast("string").alias("player_id"), F.col("value").alias("pos_x"), F.col("k").alias("view_yaw"), F.when(F.col("k") % 2 == 0, "CT").otherwise("red").alias("side"), F.when(F.col("event_type") == "error", "0").otherwise("yes").alias("alive"))
+    lines = rows.select(F.lit("m").alias("match_id"), F.col("event_id").alias("seq"), F.to_json(body).alias("value"))
+    return ingest.build(ingest.json_lines(lines)).ticks.select("tick", "steamid", "x", "yaw", "team", "is_alive")
+
+
+@query(f"""WITH {E} SELECT tick, user_id + 1 AS steamid, value AS x FROM e""")
+def mapped_records(spark, d):
+    """Events nested by user in one JSON text each, read through a mapping."""
+    from .sources import ingest
+
+    rows = events(spark, d).groupBy("user_id").agg(F.collect_list(F.struct("tick", "value")).alias("rows"))
+    text = F.to_json(F.struct(F.array(F.struct((F.col("user_id") + 1).alias("who"), "rows")).alias("people")))
+    spec = {"ticks": {"path": "people[].rows[]", "fields": {"tick": "tick", "x": "value", "steamid": "$parent.who"}}}
+    return ingest.mapped(rows.select(F.col("user_id").cast("string").alias("match_id"), text.alias("value")), spec).ticks.select("tick", "steamid", "x")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'seven' WHEN contains(lower(p_name), 'steel') THEN 'metal' WHEN contains(lower(p_name), 'red') THEN 'colour' WHEN contains(lower(p_name), 'part') THEN 'plain' END AS key FROM part""")
+def identify_names(spark, d):
+    from .plans import catalog
+
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 7 == 0, "7").otherwise("0").alias("app_id"))
+    games = spark.range(1).select(F.lit("seven").alias("key"), F.lit(7).alias("steam_appid"))
+    hints = spark.createDataFrame([(3, "part", "plain"), (1, "steel", "metal"), (2, "red", "colour")], "ordinal int, hint string, key string")
+    return catalog.identify(rows, games, hints).select("p_partkey", "key")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 90 WHEN 1 THEN CASE WHEN c_custkey % 100 >= 40 THEN 35 ELSE 0 END WHEN 2 THEN 40 ELSE 0 END AS risk FROM customer""")
+def platform_risk(spark, d):
+    from .plans import risk
+
+    key = F.col("c_custkey")
+    kind = F.coalesce(*[F.when(key % 4 == k, n) for k, n in enumerate(("lichess", "gametools", "osu"))], F.lit("opendota"))
+    body = F.when(key % 4 == 0, '{"username": "a", "tosViolation": true}').when(key % 4 == 1, F.concat(F.lit('{"headShots": "'), key % 100, F.lit('%"}'))).when(key % 4 == 2, "[]").otherwise("{}")
+    return risk.platform_profiles(table(spark, d, "customer").select(kind.alias("platform"), key.alias("c_custkey"), body.alias("payload"))).select("c_custkey", "risk")
+
+
+@query("""SELECT o_custkey, count(*) AS matches, count(*) FILTER (WHERE o_totalprice >= 300000) AS high FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1""")
+def watch_hits(spark, d):
+    watched = table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"), F.lit("l").alias("label"), F.lit("r").alias("reason"))
+    hits = h.watch_hits(table(spark, d, "orders"), watched, "o_custkey")
+    return hits.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("o_totalprice") >= 300000).alias("high"))
+
+
+@query("""SELECT 'total' AS support, count(*) AS n FROM part UNION ALL SELECT CASE p_size % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'account' WHEN 2 THEN 'events' WHEN 3 THEN 'positional' ELSE 'full' END, count(*) FROM part GROUP BY 1""")
+def support_counts(spark, d):
+    from .plans import catalog
+    from .schema import SUPPORT
+
+    level = F.coalesce(*[F.when(F.col("p_size") % 5 == k, n) for k, n in enumerate(SUPPORT)])
+    return catalog.counts(table(spark, d, "part").select(level.alias("support")))
+
+
+def _live(spark, d):
+    """Events as a stream over the files of the table."""
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def _drained(stream, mode="append"):
+    import tempfile
+    import uuid
+
+    from .streaming import live
+
+    base = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    name = f"live_{uuid.uuid4().hex}"
+    return live.drain(stream, name, f"{base.rstrip('/')}/{name}", mode)
+
+
+@query("SELECT DISTINCT user_id AS steamid FROM events")
+def stream_roster(spark, d):
+    from .streaming import live
+
+    return _drained(live.first_seen(_live(spark, d).select(F.col("user_id").alias("steamid"), "at"), "at", "400 days").select("steamid"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS high FROM events GROUP BY 1")
+def stream_counts(spark, d):
+    return _drained(_live(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 50).alias("high")), "complete")
+
+
+@query()
+def stream_bursts(spark, d):
+    """Alerts of the stateful operator over the stream of purchases."""
+    from .streaming import live
+
+    kills = _live(spark, d).filter("event_type = 'purchase'").select(F.lit("m").alias("match_id"), F.col("user_id").alias("attacker"), F.col("at").alias("event_time"))
+    return _drained(live.burst_alerts(kills, 2.0 * DAY, 3, "60 days"))
+
+
+@query()
+def simulated_match(spark, d):
+    """All three-dimensional detectors over a small synthetic match."""
+    from .plans import simulation
+
+    found = sc.analyze(simulation.to_matches(spark, simulation.match(7, 4, length=480)))
+    return found.select("steamid", "name", "kills", "score", F.array_join("flags", ",").alias("flags"))
+
+
+@query()
+def simulated_cursor(spark, d):
+    from .plans import simulation
+
+    m = simulation.cursor_match(spark, {k: simulation.frames(k, n=900) for k in ("human", "relax", "aim_assist", "replay_bot")})
+    return sc.analyze(m).select("match_id", "score")
+
+
+@query()
+def trained_weights(spark, d):
+    """Weights of two signals learned from labelled documents."""
+    from .plans import learn
+
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("player"), (F.col("quality") == 0).cast("int").alias("label"), g.clamp01(F.log1p("n_chars") / 12).alias("length"), g.clamp01(F.regexp_count("text", F.lit("[!*$#&%]")) / F.greatest(F.col("n_chars") * 0.1, F.lit(1.0))).alias("marks"))
+    try:
+        model = learn.train(rows, ["length", "marks"])
+    except ValueError:  # too few labels in the smallest tables
+        return spark.createDataFrame([], "name string, weight double")
+    return spark.createDataFrame(sorted(model.weights.items()), "name string, weight double")
+
+
 #: Columns that are counts; the SQL gives them as long integers.
 COUNTS = {
     "movement_return": ("jumps", "returns"), "jump_then_stop": ("jumps", "stops"), "conditional_counts": ("kills", "deaths", "shots", "headshots"),

@@ -49,7 +49,7 @@ def parse(lines: DataFrame, tickrate: float = 64.0, game: str = "cs2") -> Matche
     A tick is the time since the first event of the match.  Positions of a kill
     become ticks without angles.  Lines that say nothing known are passed over.
     """
-    stamp = F.unix_timestamp(LINE_TIME("value"), "MM/dd/yyyy - HH:mm:ss")
+    stamp = F.unix_timestamp(F.try_to_timestamp(F.nullif(LINE_TIME("value"), F.lit("")), F.lit("MM/dd/yyyy - HH:mm:ss")))
     events = lines.withColumn("at", stamp).filter(F.col("at").isNotNull())
     kills, starts = kills_of(events), events.filter(F.col("value").rlike(ROUND))
     base = kills.select("match_id", "at").unionByName(starts.select("match_id", "at")).groupBy("match_id").agg(F.min("at").alias("base"))
