@@ -127,5 +127,31 @@ FROM o
 """
 
 
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+m AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_id, min(i) OVER (PARTITION BY s, r) AS first_i FROM w),
+c AS (SELECT r, i FROM m WHERE doc_id > first_id OR i > first_i),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM c),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT r, k, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY r, k),
+t AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+u AS (SELECT d.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS stop, sum(b - a) AS gone, count(*) AS spans FROM t JOIN d ON d.r = t.r GROUP BY d.r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN u ON u.r = d.r
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER () AS r FROM embeddings),
+e AS (SELECT * FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+c AS (SELECT r AS x, vec_id AS root FROM v UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.x),
+m AS (SELECT x, min(root) AS component_id FROM c GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m ON m.x = v.r LEFT JOIN n ON n.a = v.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op10_embedding_dedup": OP10_SQL}
