@@ -50,17 +50,17 @@ def _band(hashes: str, at: Column, size: int, band: int) -> Column:
     return F.xxhash64(F.lit(size), F.lit(band), *least)
 
 
-def _signatures(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """keep, at (from 0) and band value of each window of rows (hashes, count of windows to take)."""
-    out = None
-    for band in range(len(BANDS) if size == WINDOW else 1):
-        each = rows.select(*keep, F.posexplode(_bands(size, band)).alias("at", "band"))
-        out = each if out is None else out.unionByName(each)
-    return out
+def _bands(size: int, band: int) -> Column:
+    """at (from 0) and the band's value for each window of size shingles, of as many windows as taken."""
+    take = F.least(F.col("take"), F.size("hashes") - size + 1)
+    each = F.transform(F.sequence(F.lit(1), take), lambda i: F.struct((i - 1).alias("at"), _band("hashes", i, size, band).alias("band")))
+    return F.when(take > 0, each).otherwise(F.array().cast("array<struct<at:int,band:bigint>>"))
 
 
-def _bands(size: int, band: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.col("take")), lambda i: _band("hashes", i, size, band))
+def _signatures(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """keep, at and band of the windows of all sizes of rows (hashes, take), in one pass over them."""
+    each = [_bands(size, band) for size in sizes for band in range(len(BANDS) if size == WINDOW else 1)]
+    return rows.select(*keep, F.inline(F.concat(*each)))
 
 
 def find(docs: DataFrame, notices: DataFrame, containment: float = 0.8, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -94,22 +94,24 @@ def find(docs: DataFrame, notices: DataFrame, containment: float = 0.8, limit: i
     blocks = blocks.select("doc_id", "text_hash", "b.base", "b.first", "b.w")
     core = F.least(F.lit(BLOCK + WINDOW - 1), F.size("w") - (F.col("base") - F.col("first")) - SHINGLE + 1)
     blocks = blocks.withColumn("hashes", _shingles("w", F.col("base") - F.col("first") + 1, core))
-    found = None
-    for size in sizes:
-        mine = known.filter(F.least(F.size("hashes"), F.lit(WINDOW)) == size).withColumn("take", F.size("hashes") - size + 1)
-        signs = stored(_signatures(mine, size, "template", "length", "shingles").select("template", "length", "shingles", F.col("at").alias("offset"), "band").distinct())
-        fits = signs.agg(F.sum(F.size("shingles") * 48 + 100)).first()[0] or 0
-        side = F.broadcast(signs) if fits <= limit else signs.hint("shuffle_hash")
-        taken = blocks.withColumn("take", F.least(F.lit(BLOCK), F.size("hashes") - size + 1)).filter("take > 0")
-        hits = _signatures(taken, size, "doc_id", "text_hash", "base", "first", "w").join(side, "band")
-        slack = F.floor(F.col("length") / 5).cast("int")
-        place = F.col("base") + F.col("at") - F.col("offset")
-        low = F.greatest(F.lit(0), place - slack - F.col("first"))
-        stretch = F.slice("w", low + 1, F.greatest(F.lit(0), place + F.col("length") + slack - F.col("first") - low))
-        each = hits.select("doc_id", "text_hash", "template", F.greatest(F.lit(0), place).alias("place"), "shingles", stretch.alias("stretch"))
-        found = each if found is None else found.unionByName(each)
-    if found is None:
+    if not sizes:
         return docs.select("doc_id", F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).filter(F.lit(False))
+    # A notice has one size of windows: all of its shingles, or WINDOW of them at every place.
+    signs = None
+    for size in sizes:
+        mine = known.filter(F.least(F.size("hashes"), F.lit(WINDOW)) == size).withColumn("take", F.size("hashes"))
+        each = _signatures(mine, [size], "template", "length", "shingles")
+        signs = each if signs is None else signs.unionByName(each)
+    signs = stored(signs.select("template", "length", "shingles", F.col("at").alias("offset"), "band").distinct())
+    fits = signs.agg(F.sum(F.size("shingles") * 48 + 100)).first()[0] or 0
+    side = F.broadcast(signs) if fits <= limit else signs.hint("shuffle_hash")
+    taken = blocks.withColumn("take", F.least(F.lit(BLOCK), F.size("hashes")))
+    hits = _signatures(taken, sizes, "doc_id", "text_hash", "base", "first", "w").join(side, "band")
+    slack = F.floor(F.col("length") / 5).cast("int")
+    place = F.col("base") + F.col("at") - F.col("offset")
+    low = F.greatest(F.lit(0), place - slack - F.col("first"))
+    stretch = F.slice("w", low + 1, F.greatest(F.lit(0), place + F.col("length") + slack - F.col("first") - low))
+    found = hits.select("doc_id", "text_hash", "template", F.greatest(F.lit(0), place).alias("place"), "shingles", stretch.alias("stretch"))
     found = found.groupBy("doc_id", "text_hash", "template", "place").agg(F.first("shingles").alias("shingles"), F.first("stretch").alias("stretch"))
     found = found.filter(F.size("stretch") >= SHINGLE)
     there = F.transform(F.sequence(F.lit(1), F.size("stretch") - SHINGLE + 1), lambda i: F.array_join(F.slice("stretch", i, SHINGLE), " "))
