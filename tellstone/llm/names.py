@@ -1,6 +1,7 @@
 """Names of byte strings, words and windows as 64-bit numbers, for whole batches of texts."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +49,21 @@ def span(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((prefix[stop] - prefix[start]) * powers(INVERSE, len(prefix))[start] + (stop - start).astype(np.uint64))
 
 
-def texts(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+def lean() -> None:
+    """Give large arrays back to the system when they go, where the C library can be told to."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else rises with use
+    except (OSError, AttributeError):
+        pass
+
+
+def texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Batches of about size bytes: the columns before the last, all texts' bytes in one array, and offsets of the texts.
 
     The last column has the texts, without nulls; those before it have long
     integers without nulls.
     """
+    lean()
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
         if pa.types.is_large_string(column.type):

@@ -20,12 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import bucket, span, sums, texts
+from .names import bucket, lean, span, sums, texts
 from .recompression import _rows, with_places
 from .shared import CHUNK, FILTER_BITS, by_bucket, by_text, pack, passes, sent, settled, shared_filter, small, unpack
 
 #: Bytes of the gram that a sampled suffix starts with.
 GRAM = 32
+#: Suffixes that a task sorts at once; those of one gram stay together.
+SLICE = 30_000
 #: Super-characters of eight bytes up to which quicksort goes.
 SHALLOW = 4
 
@@ -302,6 +304,7 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
             yield chunk()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         got = []
         for batch in batches:
             done = batch.column(1)
@@ -314,25 +317,38 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
         key = np.concatenate([g[0] for g in got])
         row = np.concatenate([g[1].astype(np.int64) + b for g, b in zip(got, base, strict=False)])
         first, left, more = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in (4, 5, 6))
-        zstd = zstandard.ZstdDecompressor()
-        context = np.concatenate([np.frombuffer(zstd.decompress(g[7].tobytes()), np.uint8) for g in got])
-        del got
-        length = more + n
+        zstd, length = zstandard.ZstdDecompressor(), more + n
+        context, filled = np.empty(int(length.sum()), np.uint8), 0
+        while got:
+            piece = zstd.decompress(got.pop(0)[7].tobytes())
+            context[filled : filled + len(piece)] = np.frombuffer(piece, np.uint8)
+            filled += len(piece)
         at = np.cumsum(length) - length
         _, kind, size = np.unique(key, return_inverse=True, return_counts=True)
         mine = np.flatnonzero(size[kind] > 1)
         key, row, first, left, more, at = (x[mine] for x in (key, row, first, left, more, at))
         if not len(key):
             return
-        again = repeated(key, first + left, first, first + more, ids[row], hashes[row], context, at, n, width)
-        # Runs of offsets become intervals of bytes.
-        edge = np.zeros((len(key), width + 2), np.int8)
-        edge[:, 1:-1] = again
-        edge = np.diff(edge, axis=1)
-        r, o_first = np.nonzero(edge == 1)
-        _, o_stop = np.nonzero(edge == -1)
-        place = (first + left)[r]
-        yield sent(settled(ids, hashes, *merged(row[r], place - o_stop + 1, place - o_first + n), buckets))
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        rows_found, spans, start = [], [], 0
+        while start < len(key):
+            stop = int(edges[min(np.searchsorted(edges, start + SLICE, "left"), len(edges) - 1)])
+            mine = order[start:stop]
+            again = repeated(key[mine], (first + left)[mine], first[mine], (first + more)[mine], ids[row[mine]], hashes[row[mine]], context, at[mine], n, width)
+            # Runs of offsets become intervals of bytes.
+            edge = np.zeros((len(mine), width + 2), np.int8)
+            edge[:, 1:-1] = again
+            edge = np.diff(edge, axis=1)
+            r, o_first = np.nonzero(edge == 1)
+            _, o_stop = np.nonzero(edge == -1)
+            place = (first + left)[mine][r]
+            found, intervals = merged(row[mine][r], place - o_stop + 1, place - o_first + n)
+            rows_found.append(found)
+            spans.append(intervals)
+            start = stop
+        spans = np.concatenate(spans)
+        yield sent(settled(ids, hashes, *merged(np.concatenate(rows_found), spans[:, 0], spans[:, 1]), buckets))
 
     return by_text(rows, send, meet, buckets)
 
