@@ -113,5 +113,5 @@ def least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
 
 
 def bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    """The part of n that each key belongs to, by its upper bits."""
-    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    """The part of n that each key belongs to, evenly even if the keys are the least of many."""
+    return ((mix(keys) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
