@@ -205,7 +205,16 @@ def with_components(found: DataFrame, distance: int = 4) -> DataFrame:
     component of nulls has a null component_id.
     """
     nodes = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    member = components(links(nodes.select("fingerprint"), distance))
+    return grouped(found, components(links(nodes.select("fingerprint"), distance)), nodes)
+
+
+def grouped(found: DataFrame, member: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """found (doc_id, fingerprint, ...) with component_id, from the components (node, root) of fingerprints.
+
+    nodes has the first doc_id and the number n of rows of each fingerprint.
+    """
+    if nodes is None:
+        nodes = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     linked = member.join(nodes.withColumnRenamed("fingerprint", "node"), "node")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = joined(member, smallest, ["root"], "inner", F.col("node"), 40).select(F.col("node").alias("fingerprint"), "component_id")
@@ -233,7 +242,12 @@ def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int
     Nulls come last; of rows with the same id, that with the smallest text
     hash stays, and of equal ones any.
     """
-    found = stored(with_components(stored(fingerprints(docs, shingle, seed, text)), distance))
+    return one_of(docs, with_components(stored(fingerprints(docs, shingle, seed, text)), distance), text)
+
+
+def one_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """docs with one row of each component of found (doc_id, text_hash, fingerprint, component_id), as one_of_each() says."""
+    found = stored(found)
     # A component without any id is that of its fingerprint's rows; each such component keeps a row.
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("print")]
