@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,8 +14,8 @@ from .scratch import joined, stored
 
 #: Labelled rows that the classifier is fitted on, at most.
 LABELLED = 10_000
-#: Words and beginnings of words that each of the two models looks for, at most.
-LEXICON = 80
+#: Rows whose inputs are held at once while a model is fitted.
+ROWS = 1000
 #: Letters of a beginning.
 STEM = 4
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,6 +76,15 @@ class Model:
                 out[r, 1 + SHAPES + index[w]] = 1
         return out
 
+    def fitted(self, shapes: np.ndarray, marks: list[set[str]], which: int, y: np.ndarray) -> np.ndarray:
+        """Weights of one of the models; inputs are made again for each step, as a lexicon has any number of marks."""
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for k in range(0, len(y), ROWS):
+                yield self.inputs(shapes[k : k + ROWS], marks[k : k + ROWS], which), y[k : k + ROWS]
+
+        return logistic(parts, 1 + SHAPES + len(self.lexicons[which]))
+
     def scores(self, shapes: np.ndarray, marks: list[set[str]]) -> np.ndarray:
         """Probabilities of low quality and of toxicity, a row for each text."""
         if not self.weights:
@@ -87,14 +96,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the constant isn't shrunk."""
-    w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def logistic(parts: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], width: int, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method over parts (x, y); the constant isn't shrunk."""
+    w, shrink = np.zeros(width), np.full(width, ridge)
     shrink[0] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + shrink * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(shrink), gradient)
+        gradient, curve = shrink * w, np.diag(shrink)
+        for x, y in parts():
+            p = _sigmoid(x @ w)
+            gradient += x.T @ (p - y)
+            curve += (x.T * (p * (1 - p))) @ x
+        step = np.linalg.solve(curve, gradient)
         w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
@@ -149,14 +161,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = LAB
             continue
         rate = F.col("n") / F.lit(totals.n)
         z = (F.col(kind) / F.lit(positive) - (F.col("n") - F.col(kind)) / F.lit(negative)) / F.sqrt(rate * (1 - rate + 1e-9) * F.lit(1 / positive + 1 / negative))
-        best = counted.select("mark", z.alias("z")).filter("z > 4").orderBy(F.desc("z"), "mark").limit(LEXICON)  # the size of the lexicon
+        best = counted.select("mark", z.alias("z")).filter("z > 4").orderBy(F.desc("z"), "mark")  # marks of a bounded sample
         model.lexicons[which] = [r.mark for r in best.collect()]
-    wanted = sorted({w for lexicon in model.lexicons for w in lexicon})
-    used = sample.select(*kinds, "shape", F.array_intersect("marks", F.array(*map(F.lit, wanted)).cast("array<string>")).alias("marks")).collect()
+    wanted = {w for lexicon in model.lexicons for w in lexicon}
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = pa.array([[m for m in found if m in wanted] for found in batch.column(3).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), marks], ["low", "toxic", "shape", "marks"])
+
+    used = sample.select(*kinds, "shape", "marks").mapInArrow(pick, "low int, toxic int, shape array<double>, marks array<string>").collect()
     shapes = np.array([r["shape"] for r in used])
     model.middle, model.spread = shapes.mean(axis=0), shapes.std(axis=0) + 0.05
     marks = [set(r.marks) for r in used]
-    model.weights = [logistic(model.inputs(shapes, marks, k), np.array([r[kind] for r in used], float)) for k, kind in enumerate(kinds)]
+    model.weights = [model.fitted(shapes, marks, k, np.array([r[kind] for r in used], float)) for k, kind in enumerate(kinds)]
     return model
 
 

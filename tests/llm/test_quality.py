@@ -61,3 +61,23 @@ def test_no_labels_and_empty_tables(spark):
     good = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
     assert quality.classify(df, good, F.col("source"), F.col("lang")).filter("kept").count() == 30
     assert quality.classify(spark.createDataFrame([], DOCS), good, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_many_toxic_words(spark):
+    """Of 120 toxic words none is lost: each is in the lexicon, and a text with it alone is rejected."""
+    rng = random.Random(4)
+    vocabulary = [a + b + c for a in "ptkbd" for b in "aeiou" for c in ("n", "st", "rel", "mik")]
+    toxic = [f"{a}{b}{c}{d}zz" for a in "vwxz" for b in "aeiou" for c in "qf" for d in "klm"]
+    docs, labels = [], []
+    for k in range(6000):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))]
+        if k % 5 == 0:
+            w[rng.randrange(len(w))] = toxic[k // 5 % len(toxic)]
+        docs.append((k, " ".join(w)))
+        labels.append((k, 1, int(k % 5 == 0)))
+    new = [(10_000 + k, " ".join([rng.choice(vocabulary) for _ in range(40)] + [w])) for k, w in enumerate(toxic)]
+    df = spark.createDataFrame(docs + new, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert set(toxic) <= set(quality.fit(df, known).lexicons[1])
+    kept = quality.classify(df, known, F.lit("h"), F.lit("p")).filter("doc_id >= 10000 and kept").count()
+    assert len(toxic) > 100 and kept == 0
