@@ -22,6 +22,7 @@ TEMPLATES = {
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "all-rights-reserved-line": "All rights reserved.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
@@ -75,8 +76,8 @@ def find(docs: DataFrame, notices: DataFrame, containment: float = 0.8, limit: i
     that is whole collides surely; a stretch that holds four fifths of a notice
     in its order has one.  Returns doc_id, template, containment (the best of
     the row's) and first_word (the least place, in words from 0), a row for
-    each template found.  Notices of fewer than five words and null texts find
-    nothing; rows with equal doc_id and text are one; other columns are not
+    each template found.  Notices of fewer than five words (see find_short)
+    and null texts find nothing; rows with equal doc_id and text are one; other columns are not
     used.
     """
     cut = notices.select("template", words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).filter(F.size("w") >= SHINGLE)
@@ -119,3 +120,30 @@ def find(docs: DataFrame, notices: DataFrame, containment: float = 0.8, limit: i
     found = found.select("doc_id", "text_hash", "template", "place", share.alias("share")).filter(F.col("share") >= containment)
     best = found.groupBy("doc_id", "text_hash", "template").agg(F.max("share").alias("containment"), F.min("place").cast("int").alias("first_word"))
     return best.select("doc_id", "template", "containment", "first_word")
+
+
+def find_short(docs: DataFrame, notices: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The notices of one to four words that each row of docs holds, as find() gives longer ones.
+
+    Such a notice is one shingle of its own length, so it is there whole or
+    not at all: where its first word is, the words there must be the notice's.
+    """
+    known = notices.select("template", words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).filter((F.size("w") > 0) & (F.size("w") < SHINGLE))
+    known = stored(known.select("template", F.element_at("w", 1).alias("word"), F.size("w").alias("length"), F.array_join("w", " ").alias("notice")).distinct())
+    fits = known.agg(F.sum(F.length("notice") * 2 + F.length("template") + 100)).first()[0] or 0
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
+    each = split.select("doc_id", "text_hash", "w", F.posexplode("w").alias("at", "word"))
+    if fits > limit:  # the words of a place travel, not those of the text
+        each = each.select("doc_id", "text_hash", F.slice("w", F.col("at") + 1, SHINGLE - 1).alias("w"), "at", "word").withColumn("start", F.lit(1))
+    else:
+        each = each.withColumn("start", F.col("at") + 1)
+    hits = each.join(F.broadcast(known) if fits <= limit else known.hint("shuffle_hash"), "word")
+    hits = hits.filter(F.array_join(F.slice("w", F.col("start"), F.col("length")), " ") == F.col("notice"))
+    best = hits.groupBy("doc_id", "text_hash", "template").agg(F.min("at").alias("first_word"))
+    return best.select("doc_id", "template", F.lit(1.0).alias("containment"), "first_word")
+
+
+def find_all(docs: DataFrame, notices: DataFrame, containment: float = 0.8, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The notices of any length that each row of docs holds."""
+    return find(docs, notices, containment, limit).unionByName(find_short(docs, notices, limit))

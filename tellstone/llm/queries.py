@@ -31,7 +31,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find(_table(spark, sf_dir, "documents"), licenses.templates(spark))
+    return licenses.find_all(_table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,25 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert [tuple(r) for r in licenses.find(one, licenses.templates(spark)).collect()] == [(1, "mit-line", 1.0, 0)]
     assert licenses.find(one, spark.createDataFrame([], "template string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_short_notices(spark, limit):
+    """Notices of fewer than five words are found, also in a text that is only that line."""
+    notices = dict(licenses.TEMPLATES) | {"two": "MIT License", "one": "Copyleft!", "none": "..."}
+    docs = [(1, "All rights reserved."), (2, "x All\nRIGHTS reserved, all rights reserved"), (3, "all rights are reserved"), (4, "Released under the MIT License."), (5, "copyleft"), (6, None), (7, ""), (1, "All rights reserved."), (None, "é mit license")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = licenses.find_all(df, licenses.templates(spark, notices), limit=limit).collect()
+    line = "all-rights-reserved-line"
+    want = [(1, line, 1.0, 0), (2, line, 1.0, 1), (4, "two", 1.0, 3), (4, "mit-line", 1.0, 0), (5, "one", 1.0, 0), (None, "two", 1.0, 1)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_query_finds_all_rights_reserved(spark):
+    from tellstone.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id for r in docs if " all rights reserved " in f" {' '.join(words(r.text))} "}
+    got = {r.doc_id for r in queries.op5_licenses(spark, folder).filter("template = 'all-rights-reserved-line'").collect()}
+    assert got == want and want
