@@ -112,13 +112,13 @@ def find(docs: DataFrame, notices: DataFrame, containment: float = 0.8, limit: i
     place = F.col("base") + F.col("at") - F.col("offset")
     low = F.greatest(F.lit(0), place - slack - F.col("first"))
     stretch = F.slice("w", low + 1, F.greatest(F.lit(0), place + F.col("length") + slack - F.col("first") - low))
-    found = hits.select("doc_id", "text_hash", "template", F.greatest(F.lit(0), place).alias("place"), "shingles", stretch.alias("stretch"))
+    found = hits.select("doc_id", "text_hash", "template", place.alias("place"), "shingles", stretch.alias("stretch"))
     found = found.groupBy("doc_id", "text_hash", "template", "place").agg(F.first("shingles").alias("shingles"), F.first("stretch").alias("stretch"))
     found = found.filter(F.size("stretch") >= SHINGLE)
     there = F.transform(F.sequence(F.lit(1), F.size("stretch") - SHINGLE + 1), lambda i: F.array_join(F.slice("stretch", i, SHINGLE), " "))
     share = F.size(F.array_intersect("shingles", there)) / F.size("shingles")
     found = found.select("doc_id", "text_hash", "template", "place", share.alias("share")).filter(F.col("share") >= containment)
-    best = found.groupBy("doc_id", "text_hash", "template").agg(F.max("share").alias("containment"), F.min("place").cast("int").alias("first_word"))
+    best = found.groupBy("doc_id", "text_hash", "template").agg(F.max("share").alias("containment"), F.greatest(F.lit(0), F.min("place")).cast("int").alias("first_word"))
     return best.select("doc_id", "template", "containment", "first_word")
 
 

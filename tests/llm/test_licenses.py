@@ -79,3 +79,11 @@ def test_query_finds_all_rights_reserved(spark):
     want = {r.doc_id for r in docs if " all rights reserved " in f" {' '.join(words(r.text))} "}
     got = {r.doc_id for r in queries.op5_licenses(spark, folder).filter("template = 'all-rights-reserved-line'").collect()}
     assert got == want and want
+
+
+def test_candidates_at_the_start(spark):
+    """Of candidates that begin before the text, each is verified and the best one counts."""
+    notice = licenses.TEMPLATES["gpl-3-line"]
+    df = spark.createDataFrame([(k, notice + f" x{k}" * (k % 3)) for k in range(60)], "doc_id long, text string").repartition(7)
+    got = licenses.find(df, licenses.templates(spark, {"gpl-3-line": notice}))
+    assert {(r.doc_id, r.containment, r.first_word) for r in got.collect()} == {(k, 1.0, 0) for k in range(60)}
