@@ -40,13 +40,13 @@ def components(links: DataFrame) -> DataFrame:
         step = stored(ends.groupBy("node").agg(F.min(F.least("node", "other")).alias("to")))
         steps.append(step)
         for end in ("a", "b"):
-            edges = joined(edges, step.select(F.col("node").alias(end), F.col("to").alias("_to")), [end], "inner", F.struct("a", "b"), 40)
+            edges = joined(edges, step.select(F.col("node").alias(end), F.col("to").alias("_to")), [end], "inner", F.struct("a", "b"))
             edges = edges.drop(end).withColumnRenamed("_to", end)
         edges = stored(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].withColumnRenamed("to", "root")
     for step in steps[1:]:
-        out = joined(out, step.withColumnRenamed("node", "root"), ["root"], "left", F.col("node"), 40)
+        out = joined(out, step.withColumnRenamed("node", "root"), ["root"], "left", F.col("node"))
         out = out.select("node", F.coalesce("to", "root").alias("root"))
     return stored(out)

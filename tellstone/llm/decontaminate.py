@@ -4,18 +4,18 @@ DataFrame operations only.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_BYTES, joined, stored
+from .scratch import BROADCAST_BYTES, identity, joined, measured, packed, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z is lower case, and before that.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-#: Word starts in a row of the scan; longer documents become several rows.
-BLOCK = 2000
+#: Distinct hashes up to which a set is put into the plan as a set of constants; larger ones are joined.
+CONSTANTS = 50_000
 
 
 def lowered(text: Column) -> Column:
@@ -28,102 +28,123 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), BETWEEN), "")
 
 
-def _grams(starts: Column, size: Column | int) -> Column:
-    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))
+def constants(column: DataFrame, most: int) -> list | None:
+    """The distinct values of a one-column table, or None where there are more than most."""
+    found = [r[0] for r in column.distinct().limit(most + 1).collect()]  # bounded by most
+    return sorted(found) if len(found) <= most else None
 
 
 def windows(benchmark: DataFrame, n: int) -> DataFrame:
     """item_id, the length and the words of each window of each item."""
     items = benchmark.select(F.col("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
-    grams = items.select("item_id", size.alias("size"), F.explode(_grams(F.sequence(F.lit(1), F.size("w") - size + 1), size)).alias("gram"))
+    starts = F.sequence(F.lit(1), F.size("w") - size + 1)
+    grams = items.select("item_id", size.alias("size"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("gram"))
     return grams.distinct()
 
 
-def _hits(docs: DataFrame, grams: DataFrame, n: int, limit: int) -> DataFrame:
-    """doc_id, text_hash, at, size and gram of each window that occurs in a document."""
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # n values at most
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words(text).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
-    blocks = split.select("doc_id", "text_hash", F.explode(F.transform(starts, lambda b: F.struct(b.alias("base"), F.slice("w", b + 1, BLOCK + n - 1).alias("w")))).alias("block"))
-    blocks = blocks.select("doc_id", "text_hash", "block.base", "block.w")
-    known = stored(grams.select("gram", "size").distinct())
-    # A window has about ten words of some ten bytes; the table also holds the key's hash and pointers.
-    fits = known.count() * (16 * n + 100) <= limit
-    found = None
-    for size in sizes:
-        # A window of a block starts at one of its first BLOCK words.
-        last = F.least(F.lit(BLOCK), F.size("w") - size + 1)
-        each = blocks.filter(F.size("w") >= size).select("doc_id", "text_hash", "base", F.posexplode(_grams(F.sequence(F.lit(1), last), size)).alias("i", "gram"))
-        mine = known.filter(F.col("size") == size)
-        hits = each.join(F.broadcast(mine) if fits else mine.hint("shuffle_hash"), "gram")
-        hits = hits.select("doc_id", "text_hash", (F.col("base") + F.col("i")).alias("at"), "size", "gram")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return blocks.select("doc_id", "text_hash", F.col("base").alias("at"), F.lit(0).alias("size"), F.lit("").alias("gram")).filter(F.lit(False))
-    return found
-
+def _ends(size: int) -> str:
+    """A hash of the first and the last word of the window of w that starts at i, from 1."""
+    return f"xxhash64(w[i - 1], w[i + {size - 2}])"
 
-def _hit_words(hits: DataFrame) -> DataFrame:
-    """Each hit word once: doc_id, text_hash and its position from 0."""
-    return hits.select("doc_id", "text_hash", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).distinct()
 
+def _scanned(docs: DataFrame, grams: DataFrame, limit: int, most: int) -> DataFrame:
+    """One pass over the texts: id, text_hash, doc_id, n_words, and at, size and gram of windows that may be known.
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["_id"]) & (a["text_hash"] == b["_hash"])
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BROADCAST_BYTES) -> DataFrame:
+    Each document has one row without a window (size 0).  A window may be
+    known if its first and last words, by their hash, are those of a known
+    one of its size; known ends are constants of the plan, and where they are
+    more than most, every window is taken.
+    """
+    known = grams.select("size", F.xxhash64(F.element_at(F.split("gram", " "), 1), F.element_at(F.split("gram", " "), -1)).alias("ends"))
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # n values at most
+    places = ["array(named_struct('i', 0, 'size', 0))"]
+    for size in sizes:
+        ends = constants(known.filter(F.col("size") == size).select("ends"), most // len(sizes))
+        all_of = f"sequence(1, size(w) - {size - 1})"
+        some = all_of if ends is None else f"filter({all_of}, i -> {_ends(size)} IN ({', '.join(f'{e}L' if e > -(1 << 63) else 'bigint(-9223372036854775808)' for e in ends)}))"
+        places.append(f"if(size(w) >= {size}, transform({some}, i -> named_struct('i', i, 'size', {size})), array())")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = docs.select("doc_id", *[c.alias(name) for name, c in identity().items()], words(whole).alias("w"))
+    # The places are made before they are exploded, so that generated code goes through them without a copy of w for each;
+    # explode_outer, as of explode the optimizer makes a filter that computes them (and w, at each use) once more.
+    each = split.withColumn("places", F.expr(f"concat({', '.join(places)})")).select("doc_id", "id", "text_hash", "w", F.explode_outer("places").alias("p"))
+    gram = F.when(F.col("p.size") > 0, F.array_join(F.slice("w", F.col("p.i"), F.col("p.size")), " "))
+    found = each.select("doc_id", "id", "text_hash", F.size("w").cast("long").alias("n_words"), (F.col("p.i") - 1).alias("at"), "p.size", gram.alias("gram"))
+    wanted = stored(grams.select("gram", "size").distinct().withColumn("known", F.lit(True)))
+    if measured(wanted) <= limit:
+        found = found.join(F.broadcast(wanted), ["gram", "size"], "left").filter((F.col("size") == 0) | F.col("known")).drop("known")
+    return stored(found)
+
+
+def _verified(found: DataFrame, grams: DataFrame, limit: int) -> DataFrame:
+    """id, text_hash, at, size and gram of the windows found that are known."""
+    hits = found.filter("size > 0").select("id", "text_hash", "at", "size", "gram")
+    return joined(hits, grams.select("gram", "size").distinct(), ["gram", "size"], "left_semi", limit=limit)
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """id, text_hash, and start and stop of each maximal run of hit words, from 0."""
+    before = Window.partitionBy("id", "text_hash").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    far = hits.groupBy("id", "text_hash", "at").agg(F.max(F.col("at") + F.col("size")).alias("stop"))
+    far = far.withColumn("new", F.coalesce(F.col("at") > F.max("stop").over(before), F.lit(True)).cast("int"))
+    far = far.withColumn("run", F.sum("new").over(Window.partitionBy("id", "text_hash").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    return far.groupBy("id", "text_hash", "run").agg(F.min("at").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BROADCAST_BYTES, most: int = CONSTANTS) -> DataFrame:
     """What each row of docs (doc_id, text) holds of benchmark (item_id, text).
 
     Words are runs of ASCII letters, digits and other than ASCII characters,
     A-Z in lower case.  A window is n consecutive words of an item, or all of
     an item that has fewer, but not none.  Each word of a document inside any
     occurrence of a window is hit.  The windows are broadcast up to limit
-    bytes by their count, and joined by a shuffle beyond it.  Returns doc_id,
-    n_words, n_hit, n_items and items_sha256 (of the ids of items with
+    bytes, which are measured, and joined by a shuffle beyond it.  Returns
+    doc_id, n_words, n_hit, n_items and items_sha256 (of the ids of items with
     occurring windows, sorted as strings, with commas) and contaminated.  A
     null text has no words; rows with equal doc_id are judged apart by their
     texts, and each row gives a row.  Other columns are not used.
     """
     grams = stored(windows(benchmark, n))
-    hits = stored(_hits(docs, grams, n, limit))
-    n_hit = _hit_words(hits).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = hits.select("doc_id", "text_hash", "gram", "size").distinct()
-    items = joined(items, grams.groupBy("gram", "size").agg(F.collect_list("item_id").alias("items")), ["gram", "size"], "inner", F.struct("doc_id"), 300)
-    items = items.select("doc_id", "text_hash", F.explode("items").alias("item")).distinct()
-    items = items.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    counted = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
-    for side in (n_hit, items):
-        named = side.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-        counted = counted.join(named, _same(counted, named), "left").drop("_id", "_hash")
-    return counted.select(
+    found = _scanned(docs, grams, limit, most)
+    hits = stored(_verified(found, grams, limit))
+    n_hit = _spans(hits).groupBy("id", "text_hash").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"))
+    owners = grams.groupBy("gram", "size").agg(F.collect_list("item_id").alias("items"))
+    items = joined(hits.select("id", "text_hash", "gram", "size").distinct(), owners, ["gram", "size"], "inner", F.col("text_hash"), limit)
+    items = items.select("id", "text_hash", F.explode("items").alias("item")).distinct()
+    items = items.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
+    known = items.join(n_hit, ["id", "text_hash"]).select("id", "text_hash", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("sha"))
+    out = joined(found.filter("size = 0"), known, ["id", "text_hash"], "left", limit=limit)
+    return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 10, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without what scan() finds, all columns kept.
+def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 10, limit: int = BROADCAST_BYTES, most: int = CONSTANTS) -> DataFrame:
+    """docs without what scan() finds, all columns kept, whatever their names are.
 
     remove: "documents" drops each row with a hit word; "spans" cuts the hit
     words and what stands after them up to the next word.
     """
-    hits = stored(_hits(docs, stored(windows(benchmark, n)), n, limit))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(text))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash")]
-    spread = F.col("_hash")
-    if remove == "documents":
-        return joined(keyed, hits.select(*key).distinct(), ["_id", "_hash"], "left_anti", spread, 64).select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    cut = _hit_words(hits).select(*key, "word").groupBy("_id", "_hash").agg(F.collect_set("word").alias("_cut"))
-    parts = F.regexp_extract_all(F.col("text"), F.lit(WORD + APART), 0)
-    kept = F.concat(F.regexp_extract("text", "^" + APART, 0), F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_cut"), i)), ""))
-    done = joined(keyed, cut, ["_id", "_hash"], "left", spread, 500)
-    return done.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    grams = stored(windows(benchmark, n))
+    hits = stored(_verified(_scanned(docs, grams, limit, most), grams, limit))
+    rows = packed(docs, **identity())
+    if remove == "documents":
+        return joined(rows, hits.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_anti", limit=limit).select("row.*")
+    gone = _spans(hits).groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    # What stays is before, between and after the runs that go.
+    parts = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + APART), 0)
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["stop"]))
+    stops = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.lit(1 << 30)))
+    edges = F.arrays_zip(starts.alias("a"), stops.alias("b"))
+    # As an argument of a function over one element, parts is computed once and not for each run.
+    stays = F.transform(F.array(parts), lambda p: F.flatten(F.transform(edges, lambda x: F.slice(p, x["a"] + 1, F.greatest(F.lit(0), x["b"] - x["a"])))))
+    kept = F.concat(F.regexp_extract("row.text", "^" + APART, 0), F.array_join(F.element_at(stays, 1), ""))
+    done = joined(rows, gone, ["id", "text_hash"], "left", limit=limit)
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return done.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

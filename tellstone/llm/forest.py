@@ -195,7 +195,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, trees: int = 6, spill
     cell = ["label", "size", "leaf"]
     sizes = placed.join(nodes.select("node", "label", F.size("vector").alias("size")), "node").withColumn("leaf", F.explode("leaves")).groupBy(*cell).count()
     large = sizes.filter(F.col("count") > TILE).select(*cell, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tiled = joined(member, large, cell, "left", F.col("node"), 64)
+    tiled = joined(member, large, cell, "left", F.col("node"))
     tiles = F.coalesce("tiles", F.lit(1))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
@@ -204,9 +204,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, trees: int = 6, spill
     member = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     smallest = member.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = joined(member, smallest, ["root"], "inner", F.col("node"), 40).select("node", "component_id")
+    linked = joined(member, smallest, ["root"], "inner", F.col("node")).select("node", "component_id")
     known = nodes.select("node", "label", "h1", "h2", "n", "first").join(linked, "node", "left").join(counts, "node", "left").filter("n > 1 or links > 0")
     known = known.select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component_id", "first").alias("_component"))
-    out = joined(rows.drop("vector"), known, ["label", "h1", "h2"], "left", F.col("vec_id"), 80)
+    out = joined(rows.drop("vector"), known, ["label", "h1", "h2"], "left", F.col("vec_id"))
     component = F.when(F.col("_links").isNotNull(), F.col("_component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -217,12 +217,12 @@ def posteriors(found: DataFrame) -> DataFrame:
     rate = min(1 - 1e-6, max(1e-6, total.bad / total.n)) if total.n else 0.5
     strength = hosts.agg(_strength(hosts, F.lit(rate)).alias("k")).first().k or 1.0
     hosts = stored(hosts.select("host", ((F.col("bad") + strength * rate) / (F.col("n") + strength)).alias("host_rate")))
-    paths = stored(joined(paths, hosts, ["host"], "inner", F.col("path"), 64))
+    paths = stored(joined(paths, hosts, ["host"], "inner", F.col("path")))
     strength = paths.agg(_strength(paths, F.col("host_rate")).alias("k")).first().k or 1.0
     paths = paths.select("host", "path", "host_rate", ((F.col("bad") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate"))
     odds = lambda p: F.log(p / (1 - p))
     safe = lambda c: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col(c)))
-    out = joined(found, paths, ["host", "path"], "inner", F.struct("doc_id", "text_hash"), 96)
+    out = joined(found, paths, ["host", "path"], "inner", F.struct("doc_id", "text_hash"))
     z = odds(safe("p_bad")) + odds(safe("path_rate")) - float(np.log(rate / (1 - rate)))
     return out.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", F.col("posterior") < 0.5)
 
@@ -243,4 +243,4 @@ def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: s
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     gone = found.filter(~F.col("kept")).select(name(F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
     rows = docs.withColumns({"_id": name(F.col("doc_id").cast("long")), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), "_host": name(host), "_path": name(path)})
-    return joined(rows, gone, ["_id", "_hash", "_host", "_path"], "left_anti", F.col("_hash"), 96).select(*docs.columns)
+    return joined(rows, gone, ["_id", "_hash", "_host", "_path"], "left_anti", F.col("_hash")).select(*docs.columns)

@@ -217,10 +217,10 @@ def grouped(found: DataFrame, member: DataFrame, nodes: DataFrame | None = None)
         nodes = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     linked = member.join(nodes.withColumnRenamed("fingerprint", "node"), "node")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = joined(member, smallest, ["root"], "inner", F.col("node"), 40).select(F.col("node").alias("fingerprint"), "component_id")
+    groups = joined(member, smallest, ["root"], "inner", F.col("node")).select(F.col("node").alias("fingerprint"), "component_id")
     copies = nodes.filter("n > 1").join(member.withColumnRenamed("node", "fingerprint"), "fingerprint", "left_anti").select("fingerprint", F.col("first").alias("component_id"))
     known = groups.unionByName(copies).withColumn("_known", F.lit(True))
-    out = joined(found, known, ["fingerprint"], "left", F.struct("doc_id", "text_hash"), 48)
+    out = joined(found, known, ["fingerprint"], "left", F.struct("doc_id", "text_hash"))
     return out.withColumn("component_id", F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("_known")
 
 
@@ -258,11 +258,11 @@ def one_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     stay = key(kept.withColumn("_stay", F.lit(True))).select("_id", "text_hash", "_stay")
     gone_groups = counted.select(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "print")).alias("_group")).distinct()
     marked = key(several).withColumn("_group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint")))
-    marked = joined(marked, gone_groups, ["_group"], "left_semi", F.col("text_hash"), 40)
+    marked = joined(marked, gone_groups, ["_group"], "left_semi", F.col("text_hash"))
     marked = stored(marked.join(stay, ["_id", "text_hash"], "left").select("_id", F.col("text_hash").alias("_hash"), "rows", F.coalesce("_stay", F.lit(False)).alias("stay")))
     rows = key(docs).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = joined(rows, marked.filter("rows > 1 or not stay").select("_id", "_hash"), ["_id", "_hash"], "left_anti", F.col("_hash"), 64)
+    out = joined(rows, marked.filter("rows > 1 or not stay").select("_id", "_hash"), ["_id", "_hash"], "left_anti", F.col("_hash"))
     repeated = stored(marked.filter("rows > 1 and stay").select("_id", "_hash"))
     if repeated.limit(1).count():
-        out = out.unionByName(joined(rows, repeated, ["_id", "_hash"], "left_semi", F.col("_hash"), 64).dropDuplicates(["_id", "_hash"]))
+        out = out.unionByName(joined(rows, repeated, ["_id", "_hash"], "left_semi", F.col("_hash")).dropDuplicates(["_id", "_hash"]))
     return out.select(*docs.columns)

@@ -64,7 +64,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_
     ).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     groups = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     groups = groups.filter(F.col("n") > 1).drop("n")
-    rows = joined(rows, groups, ["digest"], "left", F.struct("page_id", "url"), 64)
+    rows = joined(rows, groups, ["digest"], "left", F.struct("page_id", "url"))
     revisit = (F.octet_length("payload") >= min_revisit_bytes) & F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"))
     stamp = date.encode()

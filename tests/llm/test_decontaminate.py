@@ -39,14 +39,13 @@ def cases(seed):
     return docs, bench
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 0), (2, 1 << 24)])
-def test_brute(spark, monkeypatch, seed, limit):
-    monkeypatch.setattr(decontaminate, "BLOCK", 40)
+@pytest.mark.parametrize("seed,limit,most", [(1, 0, 0), (2, 1 << 24, 50_000), (4, 0, 50_000)])
+def test_brute(spark, seed, limit, most):
     docs, bench = cases(seed)
     d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n_hit string")
     b = spark.createDataFrame(bench, "item_id long, text string")
     for n in (10, 3):
-        got = decontaminate.scan(d, b, n, limit).collect()
+        got = decontaminate.scan(d, b, n, limit, most).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute(docs, bench, n)))
 
 
@@ -71,3 +70,21 @@ def test_empty_tables(spark):
     assert decontaminate.scan(d, b).count() == 0
     assert [tuple(r)[:4] for r in decontaminate.scan(one, b).collect()] == [(1, 2, 0, 0)]
     assert decontaminate.clean(one, b).count() == 1
+
+
+def test_names_of_the_operator(spark):
+    """Columns that have names of the operator's own are the user's, before and after."""
+    docs = [(1, "a b c d", 7, 8, "r", "h"), (2, "x y", 9, 10, "s", "i")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _id long, text_hash long, row string, id string")
+    b = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(d, b).collect()] == docs[1:]
+    assert sorted(tuple(r) for r in decontaminate.clean(d, b, "spans").collect()) == [(1, "a d", 7, 8, "r", "h"), docs[1]]
+    assert sorted(tuple(r)[:3] for r in decontaminate.scan(d, b).collect()) == [(1, 4, 2), (2, 2, 0)]
+
+
+def test_long_text(spark):
+    """A text of 300,000 words whose every word is hit, and an item with a word of a megabyte."""
+    d = spark.createDataFrame([(1, "a " * 300_000), (2, "z" * 1_000_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a " * 10), (2, "z" * 1_000_000)], "item_id long, text string")
+    assert sorted(tuple(r)[:4] for r in decontaminate.scan(d, b, limit=1 << 20).collect()) == [(1, 300_000, 300_000, 1), (2, 1, 1, 1)]
+    assert sorted(r.text for r in decontaminate.clean(d, b, "spans").collect()) == ["", ""]
