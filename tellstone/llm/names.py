@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +84,20 @@ def texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tu
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The name of each word (bytes between white space) and the number of its text."""
+def digests(data: bytes | memoryview, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128-bit cryptographic digests of stretches of data, as two unsigned numbers each."""
+    each = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    return np.frombuffer(b"".join(each), np.uint64).reshape(-1, 2)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (bytes between white space) of texts: the name of each, the number of its text, all words with a space after each, and where each starts there.
+
+    A name is the first half of the word's digest; each distinct word of the
+    batch is digested once.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), data, np.zeros(1, np.int64)
     space = SPACE[data]
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[0] = after[-1] = True
@@ -94,7 +105,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[offsets[:-1][offsets[:-1] < len(data)]] = True
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     start, stop = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
-    return span(sums(data.astype(np.uint64) + np.uint64(1)), start, stop), np.searchsorted(offsets, start, "right") - 1
+    owner = np.searchsorted(offsets, start, "right") - 1
+    length = stop - start
+    # Where the words stand without anything between them, and with one space.
+    tight, at = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(length + 1)])
+    flat = data[~space]
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(tight), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+    known = column.dictionary
+    edges = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int64)
+    body = memoryview(known.buffers()[2]) if known.buffers()[2] is not None else memoryview(b"")
+    named = digests(body, edges[:-1], edges[1:])[:, 0] if len(known) else np.zeros(0, np.uint64)
+    spaced = np.full(at[-1], 32, np.uint8)
+    spaced[np.arange(len(flat)) + np.repeat(np.arange(len(start)), length)] = flat
+    return named[column.indices.to_numpy()], owner, spaced, at
 
 
 def least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -4,14 +4,15 @@ A round of recompression names maximal runs of equal symbols, then splits all
 symbols into two sides by their names and names each pair of a left symbol and
 a right one that follows it.  What a stretch of a window is named depends on
 the symbols next to it only, so all occurrences of a window have the same
-symbols but for a few at its ends.  Names are 64-bit numbers made from what
-they stand for, so equal strings get equal names in every task and a round
-needs no dictionary.
+symbols but for a few at its ends.  A word's name comes from its cryptographic
+digest, that of a run or pair from the names in it, so equal strings get equal
+names in every task and a round needs no dictionary.
 
 A window's key is the least name of a few consecutive symbols inside it, at the
 highest level where it holds that many.  A first shuffle tells the keys that
-more than one document has; windows with such keys are then compared by their
-full names, in a second shuffle.
+more than one document has; windows with such keys are then compared in a
+second shuffle, by 128-bit cryptographic digests (BLAKE2b) of their words, so
+that what names of 64 bits have in common by chance or design decides nothing.
 """
 from __future__ import annotations
 
@@ -25,9 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import bucket, least, mix, span, sums, texts, words
-from .scratch import stored
-from .shared import CHUNK, FILTER_BITS, by_bucket, by_text, pack, passes, sent, settled, shared_filter, small, unpack
+from .names import bucket, digests, least, mix, span, sums, texts, words
+from .scratch import buckets, fresh, joined
+from .shared import CHUNK, by_bucket, by_text, filter_bits, pack, passes, sent, settled, shared_filter, small, unpack
 
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
@@ -82,15 +83,17 @@ def window_keys(symbols: np.ndarray, text: np.ndarray, n: int, rounds: int = 1,
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(whole).alias("_hash"), whole.cast("binary").alias("_text"))
 
 
-def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataFrame:
+def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int | None) -> DataFrame:
     """_id, _hash and the starts of windows that also start in a row with a smaller id."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs, text)
+    size_of_all = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = buckets(spark, 2 * size_of_all)
+    bits = filter_bits(size_of_all) if bits is None else bits
 
     def keys(batches: Iterator[pa.RecordBatch]):
         def chunk():
@@ -105,7 +108,7 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
 
         held, size, done = [], 0, 0
         for ids, data, offsets in texts(batches):
-            symbols, owner = words(data, offsets)
+            symbols, owner, _, _ = words(data, offsets)
             start, found = window_keys(symbols, owner, n, rounds)
             row = owner[start] + done
             new = np.ones(len(found), bool)
@@ -118,41 +121,38 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
         if held:
             yield chunk()
 
-    table = spark.sparkContext.broadcast(shared_filter(rows, keys, buckets, bits))
+    table = spark.sparkContext.broadcast(shared_filter(rows, keys, parts, bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunk():
-            key, name, row, at = (np.concatenate([h[i] for h in held]) for i in range(4))
+            key, row, at = (np.concatenate([h[i] for h in held]) for i in range(3))
+            name = np.concatenate([h[3] for h in held])
             ids, hashes = np.concatenate([r[0] for r in known]), np.concatenate([r[1] for r in known])
-            order = np.lexsort((ids[row], name, key))
-            key, name, row, at = key[order], name[order], row[order], at[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-            lead = ids[row[np.flatnonzero(first)]][np.cumsum(first) - 1] if len(key) else ids[:0]
-            later = ids[row] > lead
-            out = settled(ids, hashes, row[later], at[later], buckets)
-            key, name, row, at = key[~later], name[~later], row[~later], at[~later]
+            # Equal windows have equal names, and so equal keys.
+            later = after_first(name, ids[row])
+            out = settled(ids, hashes, row[later], at[later], parts)
+            key, row, at, name = key[~later], row[~later], at[~later], name[~later]
             order = np.lexsort((at, row))
-            key, name, row, at = key[order], name[order], row[order], at[order]
-            for b, mine in by_bucket(bucket(key, buckets), buckets):
+            key, row, at, name = key[order], row[order], at[order], name[order]
+            for b, mine in by_bucket(bucket(key, parts), parts):
                 k, r, a = key[mine], row[mine], at[mine]
                 head = np.ones(len(k), bool)
                 head[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)
                 head = np.flatnonzero(head)
                 count = np.diff(head, append=len(k))
                 used, local = np.unique(r[head], return_inverse=True)
-                out.append((b, False, pack(k[head], small(a[head]), small(count), small(local), ids[used], hashes[used], name[mine])))
+                out.append((b, False, pack(small(a[head]), small(count), small(local), ids[used], hashes[used], name[mine])))
             return sent(out)
 
         held, known, size, done = [], [], 0, 0
         for ids, data, offsets in texts(batches):
-            symbols, owner = words(data, offsets)
+            symbols, owner, spaced, where = words(data, offsets)
             start, found = window_keys(symbols, owner, n, rounds)
             live = passes(table.value, found)
             start, found = start[live], found[live]
             first_word = np.searchsorted(owner, np.arange(len(ids[0])))
-            name = span(sums(mix(symbols ^ np.uint64(0x8EBC6AF09C88C6E3))), start, start + n)
-            held.append((found, name, owner[start] + done, start - first_word[owner[start]]))
+            name = digests(memoryview(spaced), where[start], where[start + n] - 1)
+            held.append((found, owner[start] + done, start - first_word[owner[start]], name))
             known.append(ids)
             done, size = done + len(ids[0]), size + len(data)
             if size > CHUNK:
@@ -169,23 +169,30 @@ def _places(docs: DataFrame, n: int, rounds: int, text: str, bits: int) -> DataF
             got += [unpack(x) for x in batch.filter(pc.invert(done)).column(2).to_pylist()]
         if not got:
             return
-        base = np.cumsum([0] + [len(g[4]) for g in got])
-        ids, hashes = np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got])
-        count = np.concatenate([g[2].astype(np.int64) for g in got])
-        key = np.repeat(np.concatenate([g[0] for g in got]), count)
-        row = np.repeat(np.concatenate([g[3].astype(np.int64) + b for g, b in zip(got, base, strict=False)]), count)
-        at = np.concatenate([g[1].astype(np.int64) for g in got])
-        at = np.repeat(at, count) + np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-        name = np.concatenate([g[6] for g in got])
+        base = np.cumsum([0] + [len(g[3]) for g in got])
+        ids, hashes = np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got])
+        count = np.concatenate([g[1].astype(np.int64) for g in got])
+        row = np.repeat(np.concatenate([g[2].astype(np.int64) + b for g, b in zip(got, base, strict=False)]), count)
+        at = np.concatenate([g[0].astype(np.int64) for g in got])
+        at = np.repeat(at, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        name = np.concatenate([g[5] for g in got])
         del got
-        order = np.lexsort((ids[row], name, key))
-        first = np.ones(len(key), bool)
-        first[1:] = (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1])
-        mine = ids[row[order]]
-        later = order[mine > mine[np.flatnonzero(first)][np.cumsum(first) - 1]]
-        yield sent(settled(ids, hashes, row[later], at[later], buckets))
+        later = np.flatnonzero(after_first(name, ids[row]))
+        yield sent(settled(ids, hashes, row[later], at[later], parts))
 
-    return by_text(rows, send, meet, buckets)
+    return by_text(rows, send, meet, parts)
+
+
+def after_first(name: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which rows have a larger id than another with that name (two numbers)."""
+    order = np.lexsort((ids, name[:, 1], name[:, 0]))
+    mine, name = ids[order], name[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (name[1:] != name[:-1]).any(axis=1)
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order] = mine > mine[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return out
 
 
 def covered(places: bytes, count: int, n: int) -> np.ndarray:
@@ -197,14 +204,15 @@ def covered(places: bytes, count: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_places(docs: DataFrame, places: DataFrame, text: str) -> DataFrame:
-    """Rows of docs with _places, null where nothing is to be removed."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_hash", F.xxhash64(whole))
-    return keyed.join(stored(places).hint("shuffle_hash"), ["_id", "_hash"], "left").drop("_id", "_hash")
+def with_places(docs: DataFrame, places: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """Rows of docs with a last column of places, null where nothing is to be removed, and its name, which docs doesn't have."""
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    i, h, p = fresh(docs.columns, "id", "hash", "places")
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: F.xxhash64(whole)})
+    return joined(keyed, places.toDF(i, h, p), [i, h], "left").select(*[f"`{c}`" for c in docs.columns], p), p
 
 
-def repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+def repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs.
 
     Words are bytes between white space, unchanged.  A word is removed if a
@@ -213,7 +221,7 @@ def repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", b
     other; null ids come last.  A null text has no words.  Other columns are
     not used.
     """
-    rows = with_places(docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")), _places(docs, n, rounds, text, bits), "_text")
+    rows, _ = with_places(docs.select("doc_id", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), _places(docs, n, rounds, text, bits), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,16 +236,17 @@ def repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", b
             kinds = (pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "_text", "_places").mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+def without_repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", bits: int | None = None) -> DataFrame:
     """docs with those words removed, all columns and rows kept.
 
     A text that loses words becomes its other words with single spaces; texts
-    that lose none are unchanged, null included.
+    that lose none are unchanged, null included.  No name of a column clashes
+    with the operator's own.
     """
-    rows = with_places(docs, _places(docs, n, rounds, text, bits), text)
+    rows, _ = with_places(docs, _places(docs, n, rounds, text, bits), text)
     place = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Which keys occur in more than one document: a filter of fixed size, made by one shuffle."""
+"""Which keys occur in more than one document: a filter of bounded size, made by one shuffle."""
 from __future__ import annotations
 
 import zlib
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 
 from .names import bucket, mix
 
-#: Bits of the filter, 16 MB.  Where more keys are shared than it can tell apart, it lets
-#: more pass; what passes is verified, so results are the same.
-FILTER_BITS = 27
+#: Bits of the filter, as powers of two: it grows with the texts up to 128 MB.  Where more keys are
+#: shared than it can tell apart, it lets more pass; what passes is verified, so results are the same.
+LEAST_BITS, MOST_BITS = 20, 30
 #: Bytes of text after which a task sends what it holds.
 CHUNK = 16 << 20
 LOW = np.uint64((1 << 40) - 1)
@@ -55,7 +55,12 @@ def by_bucket(which: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield b, order[edges[b] : edges[b + 1]]
 
 
-def shared_filter(docs: DataFrame, keys: Callable, n: int, bits: int = FILTER_BITS) -> np.ndarray:
+def filter_bits(size: int) -> int:
+    """Bits, as a power of two, of a filter for texts of size bytes: one for each eight of them."""
+    return min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length()))
+
+
+def shared_filter(docs: DataFrame, keys: Callable, n: int, bits: int) -> np.ndarray:
     """A bit for each of 2^bits places, set where a key there occurs more than once.
 
     keys maps the batches of docs to pairs (keys, marks) of a chunk, keys

@@ -81,3 +81,42 @@ def test_filter_passes_what_is_shared():
 
 def test_empty_table(spark):
     assert recompression.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_of_equal_sums(spark):
+    """Words that agree in any polynomial sum modulo 2^64 are different words, and windows of them different windows."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{rest} {other}"), (4, f"{one} {rest}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = recompression.repeats(df).collect()
+    assert sorted(map(tuple, got)) == brute(docs, 13)
+    assert [r.n_removed for r in sorted(got)] == [0, 0, 0, 13]
+
+
+def test_names_decide_nothing(spark, monkeypatch):
+    """Where all words have one name, and so all windows one key, results are the same."""
+    real = recompression.words
+    monkeypatch.setattr(recompression, "words", lambda d, o: (real(d, o)[0] * np.uint64(0), *real(d, o)[1:]))
+    docs = cases(11, "abcdef")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert sorted(map(repr, map(tuple, recompression.repeats(df).collect()))) == sorted(map(repr, brute(docs, 13)))
+
+
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, text, "a", "b", "c", "d"), (2, text, "e", "f", "g", "h"), (3, "x", "i", "j", "k", "l")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _id string, hash string, places string, _places string")
+    assert sorted(tuple(r) for r in recompression.without_repeats(df).collect()) == [docs[0], (2, "", *docs[1][2:]), docs[2]]
+
+
+def test_long_texts(spark):
+    """A text of 300,000 words, one word of a megabyte, and copies of both."""
+    long = " ".join(str(i) for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "z" * 1_000_000), (3, long + " end"), (4, "z" * 1_000_000)], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in recompression.repeats(df).collect()) == [(1, 300_000, 0), (2, 1, 0), (3, 300_001, 300_000), (4, 1, 0)]
