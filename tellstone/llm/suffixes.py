@@ -4,8 +4,8 @@ Of the suffixes of all texts, those are sampled that start with the least
 K-byte gram of some window of N bytes: all occurrences of a window have the
 same sampled suffix in them, at the same offset.  A first shuffle tells the
 grams that occur more than once; suffixes that start with one of them are then
-brought together with what precedes them and ordered by deep-shallow sorting.
-Common prefixes of neighbours in that order, and in the order of the reversed
+brought together with what precedes them and ordered by deep-shallow sorting
+of what follows the gram.  Common prefixes of neighbours in that order, and in the order of the reversed
 left contexts, tell which windows are equal.
 """
 from __future__ import annotations
@@ -20,16 +20,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import bucket, lean, span, sums, texts
+from .names import bucket, digests, lean, span, sums, texts
 from .recompression import _rows, with_places
-from .shared import CHUNK, FILTER_BITS, by_bucket, by_text, pack, passes, sent, settled, shared_filter, small, unpack
+from .scratch import buckets
+from .shared import CHUNK, by_bucket, by_text, filter_bits, pack, passes, sent, settled, shared_filter, small, unpack
 
 #: Bytes of the gram that a sampled suffix starts with.
 GRAM = 32
 #: Suffixes that a task sorts at once; those of one gram stay together.
 SLICE = 30_000
-#: Super-characters of eight bytes up to which quicksort goes.
+#: Super-characters of eight bytes, after the gram, up to which quicksort goes.
 SHALLOW = 4
+#: Window starts of a long text that are worked on at once.
+PIECE = 4 << 20
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -100,52 +103,78 @@ def slices(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return data[np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + length, length)]
 
 
-def deep_shallow(chars: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
+def pieces(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """A batch of texts as it is, or one long text in pieces that share n - 1 bytes, and where each begins."""
+    if len(offsets) > 2 or len(data) <= PIECE + n:
+        yield data, offsets, 0
+        return
+    for at in range(0, len(data) - n + 1, PIECE):
+        part = data[at : at + PIECE + n - 1]
+        yield part, np.array([0, len(part)], np.int64), at
+
+
+def deep_shallow(chars: np.ndarray, group: np.ndarray, shallow: int = SHALLOW, splits: dict[str, int] | None = None) -> np.ndarray:
     """An order of the rows by group, then by chars (columns of super-characters).
 
-    Up to column shallow, all unresolved groups are split at once by multikey
-    quicksort, a column each time.  Groups that are still equal go through
-    blind tries: each skips the columns in which its members agree and splits
-    at the first one that branches.  Rows equal in all columns keep their order.
+    Down to column shallow, open segments are ordered by multikey quicksort:
+    each is parted in three by a pivot, its middle row's character; the equal
+    part goes on with the next column, the others stay at this one.  All
+    segments take their steps at once.  Those that are equal down to there go
+    through blind tries: each skips the columns in which its members agree
+    and splits at the first one that branches.  Rows equal in all columns
+    keep their order.  splits counts the segments parted by each phase.
     """
     order = np.argsort(group, kind="stable")
-    segment = np.cumsum(np.concatenate([[True], group[order][1:] != group[order][:-1]])) - 1 if len(order) else order
-
-    def split(at: np.ndarray, values: np.ndarray) -> None:
-        """Order the rows at these places, whole segments, by values; number the segments anew."""
-        nonlocal segment
-        by = np.lexsort((values, segment[at]))
-        order[at], values = order[at][by], values[by]
-        new = np.zeros(len(order), bool)
-        new[1:] = segment[1:] != segment[:-1]
-        inner = np.flatnonzero((values[1:] != values[:-1]) & (at[1:] == at[:-1] + 1)) + 1
-        new[at[inner]] = True
-        segment = np.cumsum(new)
-
-    def open_places() -> np.ndarray:
-        if not len(order):
-            return order
-        return np.flatnonzero(np.bincount(segment)[segment] > 1)
-
-    for column in range(min(shallow, chars.shape[1])):
-        at = open_places()
+    if not len(order):
+        return order
+    counted = {"quicksort": 0, "tries": 0} if splits is None else splits
+    shallow = min(shallow, chars.shape[1])
+    starts = np.ones(len(order), bool)
+    starts[1:] = group[order][1:] != group[order][:-1]
+    depth = np.zeros(len(order), np.int64)
+
+    def open_places() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in segments of several rows, where these begin among them, and their sizes."""
+        head = np.flatnonzero(starts)
+        size = np.diff(head, append=len(starts))
+        live = (size > 1) & (depth[head] < chars.shape[1])
+        head, size = head[live], size[live]
+        first = np.cumsum(size) - size
+        return np.arange(size.sum()) + np.repeat(head - first, size), first, size
+
+    while True:
+        at, first, size = open_places()
+        mine = np.repeat(depth[at[first]] < shallow, size) if len(at) else np.zeros(0, bool)
+        if not mine.any():
+            break
+        segment = np.repeat(np.arange(len(size)), size)[mine]
+        pivot = chars[order[at[first + size // 2]], np.minimum(depth[at[first]], shallow - 1)][segment]
+        at = at[mine]
+        value = chars[order[at], depth[at]]
+        side = (value > pivot).astype(np.int64) - (value < pivot) + 1
+        by = np.argsort(3 * segment + side, kind="stable")
+        order[at], side = order[at][by], side[by]
+        depth[at] += side == 1
+        new = np.flatnonzero((side[1:] != side[:-1]) & (segment[1:] == segment[:-1])) + 1
+        starts[at[new]] = True
+        counted["quicksort"] += len(new)
+    while True:
+        at, first, size = open_places()
         if not len(at):
             return order
-        split(at, chars[order[at], column])
-    at = open_places()
-    while len(at):
-        head = np.flatnonzero(np.concatenate([[True], segment[at][1:] != segment[at][:-1]]))
-        size = np.diff(head, append=len(at))
-        differs = chars[order[at]] != np.repeat(chars[order[at[head]]], size, axis=0)
-        branch = np.logical_or.reduceat(differs, head, axis=0)
-        live = branch.any(axis=1)
-        at, column = at[np.repeat(live, size)], np.repeat(np.argmax(branch, axis=1)[live], size[live])
-        if not len(at):
-            break
-        split(at, chars[order[at], column])
-        # A segment whose rows were found equal isn't looked at again.
-        at = at[np.bincount(segment[at], minlength=segment[-1] + 1)[segment[at]] > 1]
-    return order
+        differs = chars[order[at]] != np.repeat(chars[order[at[first]]], size, axis=0)
+        branch = np.logical_or.reduceat(differs, first, axis=0)
+        some = branch.any(axis=1)
+        column = np.where(some, np.argmax(branch, axis=1), chars.shape[1])
+        depth[at] = np.repeat(column, size)  # at the end, where a segment's rows are equal
+        live, segment = np.repeat(some, size), np.repeat(np.arange(len(size)), size)
+        at, segment = at[live], segment[live]
+        value = chars[order[at], depth[at]]
+        by = np.lexsort((value, segment))
+        order[at], value = order[at][by], value[by]
+        new = np.flatnonzero((value[1:] != value[:-1]) & (segment[1:] == segment[:-1])) + 1
+        starts[at[new]] = True
+        counted["tries"] += len(new)
 
 
 def common(chars: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -177,20 +206,29 @@ def _chars(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int,
 def repeated(key: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, hashes: np.ndarray, context: np.ndarray, at: np.ndarray, n: int, width: int) -> np.ndarray:
     """Which windows occur earlier: a row for each suffix, a column for each offset of the suffix in the window.
 
+    All is decided by the bytes; rows of different keys may be in one call.
     Places are in bytes of the text; context has the bytes from first[i] to
     last[i] + n at at[i].
     """
     rank = np.lexsort((place, hashes, ids))
     key, place, first, last, ids, hashes, at = (x[rank] for x in (key, place, first, last, ids, hashes, at))
-    left, right = place - first, last + n - place
-    chars = _chars(context, at + left, right, n)
-    order = deep_shallow(chars, key)
-    shared_right = common(chars, order, key)
+    left, right, gram = place - first, last + n - place, n - width + 1
+    # Keys are names of grams; groups are of the grams' bytes.  What follows them is sorted.
+    chars = _chars(context, at + left, np.full(len(at), gram), gram)
+    by = np.lexsort(chars.T[::-1])
+    new = np.ones(len(by), bool)
+    new[1:] = (chars[by][1:] != chars[by][:-1]).any(axis=1)
+    group = np.empty(len(by), np.int64)
+    group[by] = np.cumsum(new)
+    chars = _chars(context, at + left + gram, right - gram, max(1, n - gram))
+    order = deep_shallow(chars, group)
+    shared_right = common(chars, order, group)
+    shared_right = np.where(shared_right < 0, -1, shared_right + gram)
     right_rank = np.empty(len(order), np.int64)
     right_rank[order] = np.arange(len(order))
     chars = _chars(context, at + left, left, width, back=True)
-    order = deep_shallow(chars, key, 1)
-    shared_left = common(chars, order, key)
+    order = deep_shallow(chars, group)
+    shared_left = common(chars, order, group)
     left_rank = np.empty(len(order), np.int64)
     left_rank[order] = np.arange(len(order))
     del chars
@@ -229,11 +267,27 @@ def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return row[first], np.stack([start[first], (reach - far)[last]], 1)
 
 
-def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFrame:
+def stretches(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the union of intervals, and where each interval is in it."""
+    order = np.argsort(start, kind="stable")
+    reach = np.maximum.accumulate((start + length)[order])
+    new = np.ones(len(order), bool)
+    new[1:] = start[order][1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    first, size = start[order][head], reach[np.append(head[1:], len(order)) - 1] - start[order][head]
+    at = np.empty(len(order), np.int64)
+    which = np.cumsum(new) - 1
+    at[order] = start[order] - first[which] + (np.cumsum(size) - size)[which]
+    return first, size, at
+
+
+def _places(docs: DataFrame, n: int, text: str, bits: int | None, gram: int) -> DataFrame:
     """_id, _hash and the byte intervals to be removed."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, width = _rows(docs, text), n - gram + 1
+    size_of_all = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = buckets(spark, 2 * size_of_all)
+    bits = filter_bits(size_of_all) if bits is None else bits
 
     def keys(batches: Iterator[pa.RecordBatch]):
         def chunk():
@@ -245,61 +299,67 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
             return found[first], np.logical_or.reduceat(twice | ~first, np.flatnonzero(first)) if len(found) else twice
 
         held, size = [], 0
-        for _, data, offsets in texts(batches):
-            grams, start, stop, key = key_runs(_prefix(data), offsets, n, gram)
-            run, _, _, _ = suffix_groups(grams, start, stop, key, width)
-            held.append((key, np.bincount(run, minlength=len(key)) > 1))
-            size += len(data)
-            if size > CHUNK:
-                yield chunk()
-                held, size = [], 0
+        for _, whole, bounds in texts(batches):
+            for data, offsets, _ in pieces(whole, bounds, n):
+                grams, start, stop, key = key_runs(_prefix(data), offsets, n, gram)
+                run, _, _, _ = suffix_groups(grams, start, stop, key, width)
+                held.append((key, np.bincount(run, minlength=len(key)) > 1))
+                size += len(data)
+                if size > CHUNK:
+                    yield chunk()
+                    held, size = [], 0
         if held:
             yield chunk()
 
-    table = spark.sparkContext.broadcast(shared_filter(rows, keys, buckets, bits))
+    table = spark.sparkContext.broadcast(shared_filter(rows, keys, parts, bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(1)
 
         def chunk():
-            key, name, row, place, first, last, length = (np.concatenate([h[i] for h in held]) for i in range(7))
-            context = np.concatenate([h[7] for h in held])
-            at = np.cumsum(length) - length
+            key, row, place, first, last, length, source = (np.concatenate([h[i] for h in held]) for i in range(7))
+            name, bytes_of = np.concatenate([h[7] for h in held]), np.concatenate(pool)
             ids, hashes = np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])
-            # Suffixes with the same windows around them: those after the first are settled here.
-            order = np.lexsort((place, hashes[row], ids[row], place - first, last - first, name, key))
+            # Suffixes with the same windows around them, by their bytes' digests: those after the first are settled here.
+            order = np.lexsort((place, hashes[row], ids[row], place - first, name[:, 1], name[:, 0]))
             same = lambda x: x[order][1:] == x[order][:-1]
             new = np.ones(len(key), bool)
-            new[1:] = ~(same(key) & same(name) & same(last - first) & same(place - first))
+            new[1:] = ~(same(name[:, 0]) & same(name[:, 1]) & same(length) & same(place - first))
             lead = ids[row[order[np.flatnonzero(new)]]][np.cumsum(new) - 1] if len(key) else ids[:0]
             later = ids[row[order]] > lead
             later[1:] |= ~new[1:] & same(ids[row]) & same(hashes[row]) & (place[order][1:] > place[order][:-1])
             gone = order[later]
-            out = settled(ids, hashes, *merged(row[gone], first[gone], last[gone] + n), buckets)
+            out = settled(ids, hashes, *merged(row[gone], first[gone], last[gone] + n), parts)
             mine = order[~later]
-            for b, part in by_bucket(bucket(key[mine], buckets), buckets):
+            for b, part in by_bucket(bucket(key[mine], parts), parts):
                 part = mine[part]
                 used, local = np.unique(row[part], return_inverse=True)
-                packed = squeeze.compress(slices(context, at[part], length[part]).tobytes())
-                out.append((b, False, pack(key[part], small(local), ids[used], hashes[used], small(first[part]), small((place - first)[part]), small((last - first)[part]), np.frombuffer(packed, np.uint8))))
+                from_, size_, at = stretches(source[part], length[part])  # what contexts share is sent once
+                packed = squeeze.compress(slices(bytes_of, from_, size_).tobytes())
+                out.append((b, False, pack(key[part], small(local), ids[used], hashes[used], small(first[part]), small((place - first)[part]), small((last - first)[part]), small(at), np.frombuffer(packed, np.uint8))))
             return sent(out)
 
-        held, known, size, done = [], [], 0, 0
-        for ids, data, offsets in texts(batches):
-            prefix = _prefix(data)
-            grams, start, stop, key = key_runs(prefix, offsets, n, gram)
-            live = passes(table.value, key)
-            start, stop, key = start[live], stop[live], key[live]
-            run, place, first, last = suffix_groups(grams, start, stop, key, width)
-            row = np.searchsorted(offsets, first, "right") - 1
-            length = last + n - first
-            base = offsets[row]
-            held.append((key[run], span(prefix, first, last + n), row + done, place - base, first - base, last - base, length, slices(data, first, length)))
+        held, pool, known, size, done, filled = [], [], [], 0, 0, 0
+        for ids, whole, bounds in texts(batches):
             known.append(ids)
-            done, size = done + len(ids[0]), size + len(data)
+            for data, offsets, begin in pieces(whole, bounds, n):
+                grams, start, stop, key = key_runs(_prefix(data), offsets, n, gram)
+                live = passes(table.value, key)
+                start, stop, key = start[live], stop[live], key[live]
+                run, place, first, last = suffix_groups(grams, start, stop, key, width)
+                row = np.searchsorted(offsets, first, "right") - 1
+                base = offsets[row] - begin
+                name = digests(memoryview(data), first, last + n)
+                held.append((key[run], row + done, place - base, first - base, last - base, last + n - first, first + filled, name))
+                pool.append(data)
+                filled, size = filled + len(data), size + len(data)
+                if size > CHUNK and len(ids[0]) == 1:
+                    yield chunk()
+                    held, pool, known, size, done, filled = [], [], [ids], 0, 0, 0
+            done += len(ids[0])
             if size > CHUNK:
                 yield chunk()
-                held, known, size, done = [], [], 0, 0
+                held, pool, known, size, done, filled = [], [], [], 0, 0, 0
         if held:
             yield chunk()
 
@@ -317,13 +377,14 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
         key = np.concatenate([g[0] for g in got])
         row = np.concatenate([g[1].astype(np.int64) + b for g, b in zip(got, base, strict=False)])
         first, left, more = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in (4, 5, 6))
-        zstd, length = zstandard.ZstdDecompressor(), more + n
-        context, filled = np.empty(int(length.sum()), np.uint8), 0
+        zstd = zstandard.ZstdDecompressor()
+        sizes = [zstandard.frame_content_size(g[8].tobytes()) for g in got]
+        at = np.concatenate([g[7].astype(np.int64) + b for g, b in zip(got, np.cumsum([0, *sizes]), strict=False)])
+        context, filled = np.empty(sum(sizes), np.uint8), 0
         while got:
-            piece = zstd.decompress(got.pop(0)[7].tobytes())
+            piece = zstd.decompress(got.pop(0)[8].tobytes())
             context[filled : filled + len(piece)] = np.frombuffer(piece, np.uint8)
             filled += len(piece)
-        at = np.cumsum(length) - length
         _, kind, size = np.unique(key, return_inverse=True, return_counts=True)
         mine = np.flatnonzero(size[kind] > 1)
         key, row, first, left, more, at = (x[mine] for x in (key, row, first, left, more, at))
@@ -348,9 +409,9 @@ def _places(docs: DataFrame, n: int, text: str, bits: int, gram: int) -> DataFra
             spans.append(intervals)
             start = stop
         spans = np.concatenate(spans)
-        yield sent(settled(ids, hashes, *merged(np.concatenate(rows_found), spans[:, 0], spans[:, 1]), buckets))
+        yield sent(settled(ids, hashes, *merged(np.concatenate(rows_found), spans[:, 0], spans[:, 1]), parts))
 
-    return by_text(rows, send, meet, buckets)
+    return by_text(rows, send, meet, parts)
 
 
 def removed(places: bytes, size: int) -> np.ndarray:
@@ -362,7 +423,7 @@ def removed(places: bytes, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(docs: DataFrame, n: int = 100, text: str = "text", bits: int = FILTER_BITS, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, n: int = 100, text: str = "text", bits: int | None = None, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs.
 
     Texts are their UTF-8 bytes.  A byte is removed if n bytes of its text
@@ -371,7 +432,7 @@ def repeats(docs: DataFrame, n: int = 100, text: str = "text", bits: int = FILTE
     don't remove from each other; null ids come last; a null text is empty.
     Other columns are not used.
     """
-    rows = with_places(docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")), _places(docs, n, text, bits, gram), "_text")
+    rows, _ = with_places(docs.select("doc_id", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), _places(docs, n, text, bits, gram), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,4 +449,4 @@ def repeats(docs: DataFrame, n: int = 100, text: str = "text", bits: int = FILTE
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("doc_id", "_text", "_places").mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
