@@ -209,7 +209,8 @@ def with_places(docs: DataFrame, places: DataFrame, text: str) -> tuple[DataFram
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     i, h, p = fresh(docs.columns, "id", "hash", "places")
     keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: F.xxhash64(whole)})
-    return joined(keyed, places.toDF(i, h, p), [i, h], "left").select(*[f"`{c}`" for c in docs.columns], p), p
+    # Texts and places always meet by a shuffle, whose cost is in proportion at every size.
+    return joined(keyed, places.toDF(i, h, p), [i, h], "left", limit=0).select(*[f"`{c}`" for c in docs.columns], p), p
 
 
 def repeats(docs: DataFrame, n: int = 13, rounds: int = 1, text: str = "text", bits: int | None = None) -> DataFrame:
