@@ -1,6 +1,7 @@
 """Token counts of the sections of documents, from one encoding of the whole text."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,29 @@ def encoder(ranks_file: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+#: White space of the pattern's kind; a run of more than LONG such characters is cut out before the pattern sees it.
+SPACES, LONG = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000", 10_000
+SPACE_RULES = r"\s+(?!\S)|\s+"
+
+
+def tokens_of(encoding, text: str) -> np.ndarray:
+    """All tokens of text, also where it has more white space in a row than the pattern's engine bears.
+
+    Between such a run and what follows, the pattern's last rules part all but
+    one character of the run from the rest.  Patterns without those rules
+    aren't cut.
+    """
+    cuts = [m.span() for m in re.finditer(f"[{SPACES}]{{{LONG},}}", text)] if encoding._pat_str.endswith(SPACE_RULES) and "\\r" not in encoding._pat_str else []
+    if not cuts:
+        return encoding.encode_to_numpy(text, disallowed_special=())
+    out, at = [], 0
+    for start, stop in cuts:
+        stop -= stop < len(text)
+        out += [encoding.encode_to_numpy(text[at:start], disallowed_special=()), np.array(encoding._encode_single_piece(text[start:stop].encode()), np.uint32)]
+        at = stop
+    return np.concatenate([*out, encoding.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def attribute(sizes: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
     """Tokens of each section, and how many tokens cross an end of a section.
 
@@ -94,7 +118,7 @@ def token_counts(docs: DataFrame, ranks_file: str, pattern: str, section_end: st
                             ends.append(found + len(sign))
                             found = raw.find(sign, found + len(sign))
                     ends = np.array(sorted({*ends, len(raw)} - {0}), np.int64)
-                    tokens = encoding.encode_to_numpy(whole, disallowed_special=())
+                    tokens = tokens_of(encoding, whole)
                     share, crossing = attribute(lengths[tokens], ends, rule)
                     for column, x in zip(made, (len(tokens), len(ends), share.tolist(), crossing), strict=True):
                         column.append(x)

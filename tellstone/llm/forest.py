@@ -46,19 +46,28 @@ class Tree:
         self.leaves += 1
         return -self.leaves
 
+    def plain(self) -> tuple:
+        """The tree as arrays and numbers, which any executor can read."""
+        return self.directions, np.array(self.places), np.array(self.children, np.int64).reshape(-1, 2), self.top, self.first_leaf
+
     def route(self, vectors: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a row and a leaf that it belongs to; near a split it belongs to both sides."""
-        rows, leaves, todo = [], [], [(self.top, np.arange(len(vectors)))]
-        while todo:
-            node, mine = todo.pop()
-            if node < 0:
-                rows.append(mine)
-                leaves.append(np.full(len(mine), self.first_leaf - node - 1))
-            elif len(mine):
-                along = vectors[mine] @ self.directions[node] - self.places[node]
-                left, right = self.children[node]
-                todo += [(left, mine[along <= spill]), (right, mine[along >= -spill])]
-        return np.concatenate(rows), np.concatenate(leaves)
+        return route(self.plain(), vectors, spill)
+
+
+def route(tree: tuple, vectors: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row and a leaf that it belongs to; near a split it belongs to both sides."""
+    directions, places, children, top, first_leaf = tree
+    rows, leaves, todo = [], [], [(top, np.arange(len(vectors)))]
+    while todo:
+        node, mine = todo.pop()
+        if node < 0:
+            rows.append(mine)
+            leaves.append(np.full(len(mine), first_leaf - node - 1))
+        elif len(mine):
+            along = vectors[mine] @ directions[node] - places[node]
+            left, right = children[node].tolist()
+            todo += [(left, mine[along <= spill]), (right, mine[along >= -spill])]
+    return np.concatenate(rows), np.concatenate(leaves)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -168,11 +177,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, trees: int = 6, spill
     for r in picked.toLocalIterator():
         by_size.setdefault(len(r.vector), []).append(r.vector)
     share = largest / max(1, sum(map(len, by_size.values())))
-    planted = {size: plant(unit(np.array(v, np.float64)), share, trees, seed) for size, v in by_size.items()}
+    planted = {size: [t.plain() for t in plant(unit(np.array(v, np.float64)), share, trees, seed)] for size, v in by_size.items()}
     model = spark.sparkContext.broadcast(planted)
     apart = spill * float(np.sqrt(2 - 2 * threshold))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
             sizes = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -182,14 +191,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, trees: int = 6, spill
                     continue
                 mine = np.flatnonzero(sizes == size)
                 vectors = unit(_vectors(column.take(pa.array(mine))))
-                got = [t.route(vectors, apart / np.sqrt(size)) for t in model.value[size]]
+                got = [route(t, vectors, apart / np.sqrt(size)) for t in model.value[size]]
                 row, leaf = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
                 order = np.lexsort((leaf, row))
                 for i, x in zip(mine.tolist(), np.split(leaf[order], np.searchsorted(row[order], np.arange(1, len(mine)))), strict=True):
                     leaves[i] = x.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaves, pa.list_(pa.int64()))], ["node", "leaves"])
 
-    placed = stored(nodes.select("node", "vector").mapInArrow(route, "node long, leaves array<long>"))
+    placed = stored(nodes.select("node", "vector").mapInArrow(place, "node long, leaves array<long>"))
     # Nodes and their leaves meet by the node, which is unique on both sides.
     member = nodes.select("node", "label", "n", "vector").join(placed, "node").withColumn("size", F.size("vector")).withColumn("leaf", F.explode("leaves"))
     cell = ["label", "size", "leaf"]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: The library's sign for a space.
 MARK = "▁"
-#: Entries of the chunk table of a task; beyond that it starts anew.
-TABLE = 300_000
+#: Entries of the chunk table of a task, and their bytes; beyond either it starts anew.
+TABLE, TABLE_BYTES = 300_000, 64 << 20
 
 
 class ChunkTable(dict):
@@ -28,6 +28,7 @@ class ChunkTable(dict):
         import sentencepiece
 
         self.sp, self.size = sentencepiece.SentencePieceProcessor(model_file=model), size
+        self.held = 0
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("pieces of this model cross marks")
@@ -38,11 +39,13 @@ class ChunkTable(dict):
         self.ends = [np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id())]
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.size:
+        if len(self) >= self.size or self.held > TABLE_BYTES:
             self.clear()
+            self.held = 0
         # The library puts a mark before each text.
         ids = np.array(self.sp.encode(chunk[1:]), "<u4").tobytes() if len(chunk) > 1 else self.alone
         self[chunk] = ids
+        self.held += 4 * len(chunk) + len(ids)
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import joined, stored
+from .scratch import identity, joined, packed, stored
 
 #: Labelled rows that the classifier is fitted on, at most.
 LABELLED = 10_000
@@ -205,7 +205,8 @@ def posteriors(found: DataFrame) -> DataFrame:
 
     A row's bad probability is that of low quality or toxicity.  The rate of a
     host is shrunk to the global one, that of a path (within a host) to its
-    host's, each as strongly as groups of the level resemble one another.  The
+    host's, each as strongly as groups of the level resemble one another, and
+    each without the row itself, so that its evidence counts once.  The
     posterior of a row moves its own odds by the ratio of the path's prior odds
     to the global ones.  Rows are kept below one half.
     """
@@ -216,13 +217,16 @@ def posteriors(found: DataFrame) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = min(1 - 1e-6, max(1e-6, total.bad / total.n)) if total.n else 0.5
     strength = hosts.agg(_strength(hosts, F.lit(rate)).alias("k")).first().k or 1.0
-    hosts = stored(hosts.select("host", ((F.col("bad") + strength * rate) / (F.col("n") + strength)).alias("host_rate")))
+    hosts = hosts.withColumnsRenamed({"n": "host_n", "bad": "host_bad"}).withColumn("around", (F.col("host_bad") + strength * rate) / (F.col("host_n") + strength))
     paths = stored(joined(paths, hosts, ["host"], "inner", F.col("path")))
-    strength = paths.agg(_strength(paths, F.col("host_rate")).alias("k")).first().k or 1.0
-    paths = paths.select("host", "path", "host_rate", ((F.col("bad") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate"))
+    within = paths.agg(_strength(paths, F.col("around")).alias("k")).first().k or 1.0
+    out = joined(found, paths, ["host", "path"], "inner", F.struct("doc_id", "text_hash"))
+    # A row's own evidence stays out of the rates that judge it.
+    host_rate = (F.col("host_bad") - F.col("p_bad") + strength * rate) / (F.col("host_n") - 1 + strength)
+    out = out.withColumn("host_rate", host_rate)
+    out = out.withColumn("path_rate", (F.col("bad") - F.col("p_bad") + within * F.col("host_rate")) / (F.col("n") - 1 + within))
     odds = lambda p: F.log(p / (1 - p))
     safe = lambda c: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col(c)))
-    out = joined(found, paths, ["host", "path"], "inner", F.struct("doc_id", "text_hash"))
     z = odds(safe("p_bad")) + odds(safe("path_rate")) - float(np.log(rate / (1 - rate)))
     return out.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", F.col("posterior") < 0.5)
 
@@ -238,9 +242,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
 
 
 def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text", limit: int = LABELLED) -> DataFrame:
-    """docs without the rows that classify() doesn't keep; all columns kept."""
+    """docs without the rows that classify() doesn't keep; all columns kept, whatever their names are."""
     found = posteriors(stored(evidence(docs, fit(docs, labels, text, limit), host, path, text)))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    gone = found.filter(~F.col("kept")).select(name(F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    rows = docs.withColumns({"_id": name(F.col("doc_id").cast("long")), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), "_host": name(host), "_path": name(path)})
-    return joined(rows, gone, ["_id", "_hash", "_host", "_path"], "left_anti", F.col("_hash")).select(*docs.columns)
+    keys = ["id", "text_hash", "host", "path"]
+    gone = found.filter(~F.col("kept")).withColumn("id", name(F.col("doc_id"))).select(*keys).distinct()
+    rows = packed(docs, **identity(text) | {"id": name(F.col("doc_id").cast("long")), "host": name(host), "path": name(path)})
+    return joined(rows, gone, keys, "left_anti").select("row.*")

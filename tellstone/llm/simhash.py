@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .components import components, roots
 from .names import mix
-from .scratch import joined, stored
+from .scratch import buckets as dealt
+from .scratch import identity, joined, packed, stored
 from .shared import by_bucket, parts
 
 #: Members of a cell that are compared with all others in one step.
@@ -109,8 +110,7 @@ def _links(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, table: in
 def cell_links(prints: np.ndarray, table: int, mask: np.uint64, owner: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs of distinct fingerprints that share a cell of a table, each once.
 
-    Cells of more than TILE members are compared in tiles, and of a tile's
-    links only a forest is kept.
+    Of cells of more than TILE members, a forest of the links is given.
     """
     vector = embedding(prints)
     order = np.argsort(vector & mask)
@@ -130,15 +130,44 @@ def cell_links(prints: np.ndarray, table: int, mask: np.uint64, owner: np.ndarra
             yield prints[found], prints[found + step]
         step += 1
     for h, s in zip(head[size > TILE].tolist(), size[size > TILE].tolist(), strict=True):
-        for i in range(h, h + s, TILE):
-            for j in range(i, h + s, TILE):
-                a, b = np.arange(i, min(i + TILE, h + s)), np.arange(j, min(j + TILE, h + s))
-                a, b = (x.reshape(-1) for x in np.meshgrid(a, b, indexing="ij"))
-                later = a < b
-                a, b = a[later], b[later]
-                found = _links(prints[a], prints[b], vector[a], vector[b], table, owner, distance)
-                if len(found):
-                    yield forest(prints[a[found]], prints[b[found]])
+        yield from large_cell_links(prints[h : h + s], distance)
+
+
+def large_cell_links(prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join all linked pairs of a large cell, whatever table owns them.
+
+    Each member that no pivot has reached becomes a pivot and is compared with
+    all; near copies of one text so take few passes.  Members that aren't
+    pivots are then compared in tiles, but for tiles within one component.
+    """
+    root, reached, pivots = np.arange(len(prints)), np.zeros(len(prints), bool), np.zeros(len(prints), bool)
+    left, right = [], []
+    for k in range(len(prints)):
+        if not reached[k]:
+            near = np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= distance)
+            reached[near] = pivots[k] = True
+            left.append(np.full(len(near), k))
+            right.append(near)
+            if sum(map(len, left[-64:])) > 1 << 16 or len(left) > 4096:
+                root = roots(len(prints), np.concatenate([*left, np.arange(len(prints))]), np.concatenate([*right, root]))
+                left, right = [], []
+    root = roots(len(prints), np.concatenate([*left, np.arange(len(prints))]), np.concatenate([*right, root]))
+    rest = np.flatnonzero(~pivots)
+    rest = rest[np.argsort(root[rest], kind="stable")]
+    for i in range(0, len(rest), TILE):
+        a = rest[i : i + TILE]
+        for j in range(i, len(rest), TILE):
+            b = rest[j : j + TILE]
+            if root[a[0]] == root[b[-1]] and (root[a] == root[a[0]]).all() and (root[b] == root[a[0]]).all():
+                continue
+            x, y = np.nonzero(np.bitwise_count(prints[a][:, None] ^ prints[b][None, :]) <= distance)
+            x, y = a[x], b[y]
+            apart = root[x] != root[y]
+            if apart.any():
+                root = roots(len(prints), np.concatenate([x[apart], np.arange(len(prints))]), np.concatenate([y[apart], root]))
+    moved = np.flatnonzero(root != np.arange(len(prints)))
+    if len(moved):
+        yield prints[moved], prints[root[moved]]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +186,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """
     if not 0 <= distance < 8:
         raise ValueError("the grid has eight blocks: distances are 0 to 7")
-    buckets = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = dealt(prints.sparkSession, prints.count() * len(grid(distance)[0]) * 8)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, _ = grid(distance)
@@ -253,16 +282,16 @@ def one_of(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("print")]
     counted = found.groupBy(*group).agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = counted.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.text_hash").alias("text_hash"))
-    key = lambda d: d.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
     several = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id"), F.first("fingerprint").alias("fingerprint"))
-    stay = key(kept.withColumn("_stay", F.lit(True))).select("_id", "text_hash", "_stay")
-    gone_groups = counted.select(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "print")).alias("_group")).distinct()
-    marked = key(several).withColumn("_group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint")))
-    marked = joined(marked, gone_groups, ["_group"], "left_semi", F.col("text_hash"))
-    marked = stored(marked.join(stay, ["_id", "text_hash"], "left").select("_id", F.col("text_hash").alias("_hash"), "rows", F.coalesce("_stay", F.lit(False)).alias("stay")))
-    rows = key(docs).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = joined(rows, marked.filter("rows > 1 or not stay").select("_id", "_hash"), ["_id", "_hash"], "left_anti", F.col("_hash"))
-    repeated = stored(marked.filter("rows > 1 and stay").select("_id", "_hash"))
+    stay = kept.select(name.alias("id"), "text_hash", F.lit(True).alias("stay"))
+    gone_groups = counted.select(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "print")).alias("group")).distinct()
+    marked = several.withColumn("id", name).withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint")))
+    marked = joined(marked, gone_groups, ["group"], "left_semi", F.col("text_hash"))
+    marked = stored(marked.join(stay, ["id", "text_hash"], "left").select("id", "text_hash", "rows", F.coalesce("stay", F.lit(False)).alias("stay")))
+    rows = packed(docs, **identity(text) | {"id": name})
+    out = joined(rows, marked.filter("rows > 1 or not stay").select("id", "text_hash"), ["id", "text_hash"], "left_anti")
+    repeated = stored(marked.filter("rows > 1 and stay").select("id", "text_hash"))
     if repeated.limit(1).count():
-        out = out.unionByName(joined(rows, repeated, ["_id", "_hash"], "left_semi", F.col("_hash")).dropDuplicates(["_id", "_hash"]))
-    return out.select(*docs.columns)
+        out = out.unionByName(joined(rows, repeated, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]))
+    return out.select("row.*")

@@ -67,3 +67,19 @@ def test_given_sections(spark, rule):
 
 def test_empty_table(spark):
     assert attribution.token_counts(spark.createDataFrame([], "doc_id long, text string"), RANKS, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \n\t", "\u3000"])
+def test_long_runs_of_white_space(monkeypatch, space):
+    """Cut runs give the tokens that the whole text has."""
+    encoding, _ = attribution.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    monkeypatch.setattr(attribution, "LONG", 5)
+    for text in (space * 30, f"a{space * 30}b", f"{space * 30}b c{space * 31}", f"x{space * 7}1{space * 9}!{space * 8}'s"):
+        assert attribution.tokens_of(encoding, text).tolist() == encoding.encode(text, disallowed_special=())
+
+
+def test_ten_megabytes_of_one_character(spark):
+    texts = [c * 10_000_000 for c in " a!"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = attribution.token_counts(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2] and all(r.n_tokens > 0 and r.n_sections == 1 for r in got)

@@ -74,7 +74,7 @@ def test_links(spark, monkeypatch, distance, tile, limit):
     assert union(len(distinct), brute) == union(len(distinct), [(index[int(x)], index[int(y)]) for x, y in zip(a, b, strict=True)])
     if tile > 100:
         assert len(a) == len(brute)
-    monkeypatch.setattr(scratch.joined, "__defaults__", (limit,))
+    monkeypatch.setattr(scratch.joined, "__defaults__", (None, limit, 3 if not limit else scratch.PART))
     ids = list(range(len(prints)))
     df = spark.createDataFrame([(i, 0, int(np.int64(p.view(np.int64)))) for i, p in zip(ids, prints, strict=True)], "doc_id long, text_hash long, fingerprint long")
     got = [(r.doc_id, f"{r.fingerprint & (1 << 64) - 1:016x}", r.component_id) for r in simhash.with_components(df, distance).collect()]
@@ -105,3 +105,28 @@ def test_components(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_large_cells(monkeypatch, seed):
+    """Pivots and tiles give the components of all pairs, for near copies of a few texts and for others."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    prints = np.concatenate([centre, rng.integers(0, 1 << 63, 40).astype(np.uint64)])
+    for _ in range(300):
+        flips = rng.choice(64, rng.integers(1, 4), replace=False).astype(np.uint64)
+        prints = np.append(prints, prints[rng.integers(len(prints))] ^ np.bitwise_or.reduce(np.uint64(1) << flips))
+    prints = np.unique(prints)
+    a, b = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+    want = simhash.roots(len(prints), a, b)
+    index = {int(x): i for i, x in enumerate(prints)}
+    got = list(simhash.large_cell_links(prints, 4))
+    x, y = ([index[int(v)] for part in got for v in part[k]] for k in (0, 1))
+    assert simhash.roots(len(prints), np.array(x, int), np.array(y, int)).tolist() == want.tolist()
+
+
+def test_columns_of_any_name(spark):
+    docs = [(1, "a b c d e", 7, 8, "r"), (2, "a b c d e", 9, 10, "s"), (3, "x y", 11, 12, "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _id long, _hash long, row string")
+    assert sorted(tuple(r) for r in simhash.one_of_each(df).collect()) == [docs[0], docs[2]]

@@ -37,7 +37,7 @@ def test_round_trip(spark, least, segment):
 
 
 def test_salted_join(spark, monkeypatch):
-    monkeypatch.setattr(scratch.joined, "__defaults__", (0,))
+    monkeypatch.setattr(scratch.joined, "__defaults__", (None, 0, 2))
     got = warc.round_trip(spark.createDataFrame(ROWS, SCHEMA))
     assert sorted(map(repr, map(tuple, got.collect()))) == expected(ROWS, 0)
 
