@@ -61,7 +61,7 @@ def _refuse(rows: DataFrame) -> tuple[int, int, int]:
     return got.n, got.players, got.positives
 
 
-def train_exact(rows: DataFrame, names: list[str], epochs: int = 400, rate: float = 0.3, l2: float = 0.01) -> Model:
+def train_exact(rows: DataFrame, names: list[str], epochs: int = 400, rate: float = 0.35, l2: float = 0.01) -> Model:
     """Class-weighted logistic regression by full-batch gradient steps.
 
     Each epoch is one aggregate over the rows, which stay where they are; only

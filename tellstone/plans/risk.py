@@ -37,6 +37,13 @@ def _xml(tag: str) -> Column:
     return F.nullif(F.regexp_extract("payload", rf"<{tag}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1), F.lit(""))
 
 
+def _lifetime(stat: str) -> Column:
+    """A number of the first overview segment that is named Lifetime."""
+    kind = "array<struct<type:string,metadata:struct<name:string>,stats:map<string,struct<value:double>>>>"
+    own = F.filter(F.from_json(_text("$.data.segments"), kind), lambda x: (x["type"] == "overview") & (x["metadata"]["name"] == "Lifetime"))
+    return F.try_element_at(F.try_element_at(own, F.lit(1))["stats"], F.lit(stat))["value"]
+
+
 #: For each platform, the name it shows and its rules over a captured payload; an empty payload is an absent account.
 PLATFORMS: dict[str, tuple] = {
     "faceit": (lambda: _text("$.nickname"), lambda: [(F.size(F.from_json(_text("$.bans"), "array<string>")) > 0, 60, "banned")]),
@@ -52,7 +59,7 @@ PLATFORMS: dict[str, tuple] = {
     "openxbl": (lambda: _text("$.people[0].gamertag"), lambda: [(_text("$.people[0].xuid").isNull(), 30, "no such account")]),
     "lichess": (lambda: _text("$.username"), lambda: [(F.lower(_text("$.tosViolation")) == "true", 90, "violation of the terms")]),
     "chesscom": (lambda: _text("$.username"), lambda: [(F.lower(_text("$.status")).rlike("fair_play|abuse"), 90, "closed for fair play or abuse")]),
-    "tracker": (lambda: _text("$.data.platformInfo.platformUserHandle"), lambda: [(_number("$.data.segments[0].stats.headshots.value") >= 3000, 25, "many headshots")]),
+    "tracker": (lambda: _text("$.data.platformInfo.platformUserHandle"), lambda: [(_lifetime("headshots") >= 3000, 25, "many headshots")]),
     "runescape": (lambda: F.lit(None).cast("string"), lambda: [(F.split(F.split("payload", "\n")[0], ",")[1].try_cast("int") <= 0, 20, "no level")]),
 }
 
@@ -72,7 +79,8 @@ def platform_profiles(payloads: DataFrame) -> DataFrame:
     bans = F.coalesce(F.size(F.from_json(_text("$.data"), "array<string>")), F.lit(0))
     mine = payloads.filter("platform = 'battlemetrics' and payload is not null").withColumn("risk", F.least(F.lit(100), 25 * bans).cast("int"))
     mine = mine.withColumn("reasons", F.when(F.col("risk") > 0, F.array(F.lit("community bans"))).otherwise(F.array().cast("array<string>"))).withColumn("shown", F.lit(None).cast("string"))
-    failed = payloads.filter("payload is null").withColumn("risk", F.lit(0)).withColumn("reasons", F.array().cast("array<string>")).withColumn("shown", F.lit(None).cast("string"))
+    known = [*PLATFORMS, "battlemetrics"]
+    failed = payloads.filter(F.col("payload").isNull() | F.col("platform").isNull() | ~F.col("platform").isin(known)).withColumn("risk", F.lit(0)).withColumn("reasons", F.array().cast("array<string>")).withColumn("shown", F.lit(None).cast("string"))
     return out.unionByName(mine).unionByName(failed).withColumn("error", F.col("payload").isNull()).drop("payload")
 
 

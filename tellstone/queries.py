@@ -489,9 +489,13 @@ def _drained(stream, mode="append"):
 
     from .streaming import live
 
-    base = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"live_{uuid.uuid4().hex}"
-    return live.drain(stream, name, f"{base.rstrip('/')}/{name}", mode)
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tellstone-")
+    return live.drain(stream, f"{base.rstrip('/')}/live_{uuid.uuid4().hex}", mode)
 
 
 @query("SELECT DISTINCT user_id AS steamid FROM events")
@@ -554,6 +558,9 @@ for _name, _columns in COUNTS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
 
 
+from . import detector_queries  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -73,12 +73,13 @@ def headers(files: DataFrame) -> DataFrame:
 def frames(texts: DataFrame, text: str = "frames") -> DataFrame:
     """Samples of texts (match_id, ...): lists of w|x|y|keys, w the time since the one before.
 
-    Malformed entries, the seed entry (w -12345) and those with a negative time
-    are left out.
+    Times and keys may have fractions, which are cut off.  Malformed entries,
+    the seed entry (w -12345) and those with a negative time are left out.
     """
     parts = F.split("item", r"\|")
+    whole = lambda k: F.col("p")[k].try_cast("double").try_cast("int")
     rows = texts.select("match_id", F.posexplode(F.split(text, ",")).alias("seq", "item")).withColumn("p", parts).filter(F.size("p") == 4)
-    rows = rows.select("match_id", F.col("seq").cast("long").alias("seq"), F.col("p")[0].try_cast("int").alias("w"), F.col("p")[1].try_cast("double").alias("x"), F.col("p")[2].try_cast("double").alias("y"), F.col("p")[3].try_cast("int").alias("keys"))
+    rows = rows.select("match_id", F.col("seq").cast("long").alias("seq"), whole(0).alias("w"), F.col("p")[1].try_cast("double").alias("x"), F.col("p")[2].try_cast("double").alias("y"), whole(3).alias("keys"))
     rows = rows.filter("w is not null and x is not null and y is not null and keys is not null and w >= 0")
     return rows.withColumn("ms", F.sum("w").over(W.partitionBy("match_id").orderBy("seq")).cast("long")).drop("w")
 

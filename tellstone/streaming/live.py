@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import steam64
 from ..sources.server_log import LINE_TIME, ROUND, kills_of
 
-#: Fixed value: a line of a console's status list.
-STATUS = r'^#\s+\d+\s+(?:\d+\s+)?"(.*)"\s+(STEAM_\d:\d:\d+|\[U:1:\d+\])'
+#: Fixed value: a line of a console's status list, with or without the sign before the number.
+STATUS = r'^\s*(?:#\s*)?\d+\s+(?:\d+\s+)?"(.*)"\s+(STEAM_\d:\d:\d+|\[U:1:\d+\])'
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,14 +52,15 @@ def round_stream(log: DataFrame) -> DataFrame:
 
 
 ALERTS = "match_id string, attacker long, event_time timestamp, size int"
-STATE = "times array<long>, alerted long"
+STATE = "times array<long>, alerted array<long>"
 
 
 def burst_alerts(kills: DataFrame, window_seconds: float = 1.2, least: int = 3, delay: str = "10 seconds") -> DataFrame:
     """An alert for each kill that ends a group of at least least within the window, once a group.
 
-    State is the times of a player's kills within the window, so it stays
-    small; a player without kills past the watermark loses its state.  Events
+    State is the times of a player's kills that a kill not yet dropped can
+    join, so it stays small; a player without kills past the watermark loses
+    its state.  Events
     later than the delay are dropped.  Groups are by event time, whatever the
     order in a batch.
     """
@@ -72,36 +74,60 @@ def burst_alerts(kills: DataFrame, window_seconds: float = 1.2, least: int = 3,
             state.remove()
             yield nothing
             return
-        times, alerted = (list(state.get[0]), state.get[1]) if state.exists else ([], -(1 << 62))
+        times, alerted = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
         new = sorted(int(t.value) // 1000 for b in batches for t in b["event_time"])
         out = []
-        for t in new:
-            times = [x for x in times if t - x <= span] + [t]
-            if len(times) >= least and times[0] > alerted:
-                out.append((key[0], key[1], pd.Timestamp(t, unit="us"), len(times)))
-                alerted = t
+        # A late kill joins those before and after it; what no kill can join any more, by the watermark, goes.
+        floor = state.getCurrentWatermarkMs() * 1000 - span
+        times, alerted = sorted([x for x in times if x >= floor] + new), [x for x in alerted if x >= floor]
+        for i, t in enumerate(times):
+            first = next(x for x in times if t - x <= span)
+            size = i + 1 - times.index(first)
+            if size >= least and not any(first <= x <= t for x in alerted):
+                out.append((key[0], key[1], pd.Timestamp(t, unit="us"), size))
+                alerted.append(t)
         state.update((times, alerted))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (new[-1] if new else 0) // 1000) + 60_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (times[-1] if times else 0) // 1000) + 60_000)
         yield pd.DataFrame(out, columns=list(nothing.columns)) if out else nothing
 
     timed = kills.select("match_id", "attacker", "event_time").withWatermark("event_time", delay)
     return timed.groupBy("match_id", "attacker").applyInPandasWithState(update, ALERTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return the rows that it gives."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and return the rows that it gives, from tables under path that all executors share.
+
+    In complete mode each batch is the whole result, and the last one counts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/number={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("number", LongType())])).parquet(f"{path}/batches")
+    if mode == "complete":
+        found = found.filter(F.col("number") == found.agg(F.max("number")).first()[0])
+    return found.select(*stream.columns)
+
 
+def watch_folder(spark: SparkSession, folder: str, checkpoint: str, handle, seconds: int = 30, failed: str | None = None):
+    """Call handle(batch of new files' lines, batch number) as files appear.
 
-def watch_folder(spark: SparkSession, folder: str, checkpoint: str, handle, seconds: int = 30):
-    """Call handle(batch of new files' lines, batch number) as files appear; a batch that fails is told and doesn't end the stream."""
+    A batch that fails is written with its error under failed, a folder of
+    JSON lines, and doesn't end the stream; without that folder it does, and
+    its files come again after a restart.
+    """
 
     def safe(batch: DataFrame, number: int) -> None:
         try:
             handle(batch, number)
-        except Exception as e:  # noqa: BLE001
-            print(f"batch {number} failed: {e}")
+        except Exception as e:
+            if failed is None:
+                raise
+            batch.select("match_id", "value", F.lit(number).alias("batch"), F.lit(str(e)).alias("error")).write.mode("append").json(failed)
 
     return lines(spark, folder).writeStream.foreachBatch(safe).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -133,3 +133,29 @@ def test_lines_round_trip(spark, tmp_path):
     assert got.ticks.count() == m.ticks.count() and got.kills.count() == m.kills.count() and got.shots.count() == m.shots.count()
     one = lambda x: sorted(map(tuple, x.ticks.filter("tick < 1003").select("tick", "steamid", "x", "yaw", "is_alive", "team").collect()))
     assert one(got) == one(m)
+
+
+def test_frames_with_fractions(spark):
+    from tellstone.sources import replays
+
+    rows = spark.createDataFrame([("m", "12.0|1|2|0,16.5|3|4|1,10|5|6|2.0,x|1|1|1,nan|1|1|1")], "match_id string, frames string")
+    assert [(r.ms, r.x, r["keys"]) for r in replays.frames(rows).orderBy("seq").collect()] == [(12, 1.0, 0), (28, 3.0, 1), (38, 5.0, 2)]
+
+
+def test_lifetime_segment_and_unknown_platforms(spark):
+    from tellstone.plans import risk
+
+    segment = lambda kind, name, n: f'{{"type": "{kind}", "metadata": {{"name": "{name}"}}, "stats": {{"headshots": {{"value": {n}}}}}}}'
+    payload = lambda *s: f'{{"data": {{"platformInfo": {{"platformUserHandle": "h"}}, "segments": [{", ".join(s)}]}}}}'
+    rows = [("tracker", "a", payload(segment("season", "Lifetime", 9000), segment("overview", "Lifetime", 3000))), ("tracker", "b", payload(segment("overview", "Now", 9000), segment("overview", "Lifetime", 10))), ("tracker", "c", "{}"), ("other", "d", "{}"), (None, "e", "{}"), ("osu", "f", None)]
+    got = {r.account: (r.risk, r.error) for r in risk.platform_profiles(spark.createDataFrame(rows, "platform string, account string, payload string")).collect()}
+    assert got == {"a": (25, False), "b": (0, False), "c": (0, False), "d": (0, False), "e": (0, False), "f": (0, True)}
+
+
+def test_key_values():
+    from tellstone.sources import valve
+
+    assert valve.parse_text('"a" { "b" "c" // "x" "y"\n "d" "http://e" } } "f" "g" { "h" "i" }') == {"a": {"b": "c", "d": "http://e"}, "f": "g", "h": "i"}
+    assert valve.parse_text('"a" { "b" "c"') == {"a": {"b": "c"}} and valve.parse_text('"a" "b') == {}
+    whole = b"\x00t\x00\x01n\x00v\x00\x02k\x00\x05\x00\x00\x00\x08\x08"
+    assert valve.parse_binary(whole) == {"t": {"n": "v", "k": 5}} and valve.parse_binary(whole[:12]) == {}
