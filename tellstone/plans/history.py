@@ -156,6 +156,11 @@ def save_observations(new: DataFrame, path: str) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
 
 
+def save_checks(found: DataFrame, path: str) -> None:
+    """Add checks of players (as in schema.BAN_CHECKS) to those that are there; a player has as many as were made."""
+    found.write.mode("append").parquet(path)
+
+
 def players_of(observations: DataFrame, time: str = "analyzed_at") -> DataFrame:
     """The player dimension, counted anew from the observations."""
     return observations.groupBy("steamid").agg(F.max_by("name", time).alias("last_name"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.countDistinct("match_id").alias("matches_seen"))

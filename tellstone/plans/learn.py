@@ -104,3 +104,24 @@ def evaluate(scored: DataFrame, threshold: float = 50.0) -> DataFrame:
     out = one.agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"), F.count_if(~hit & ~bad).alias("tn"))
     p, r = ratio("tp", F.col("tp") + F.col("fp")), ratio("tp", F.col("tp") + F.col("fn"))
     return out.select("*", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1")).crossJoin(auc(scored, "score", "label").select("auc"))  # one row each
+
+
+def train_held_out(rows: DataFrame, names: list[str], share: float = 0.3, seed: str = "13", threshold: float = 50.0, l2: float = 0.01) -> Model:
+    """train() on the players of one side of a split; metrics are those of the players held out.
+
+    rows has player, label and a column for each signal.  All rows of a player
+    are on one side.  Too few players, on either side, are refused.
+    """
+    from .history import split_by
+
+    n, players, positives = _refuse(rows)
+    sides = split_by(rows, "player", share, seed)
+    test = sides.filter("test")
+    model = train(sides.filter("not test"), names, l2)
+    signals = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.struct(F.col(c).cast("double").alias("value")) for c in names]))
+    got = evaluate(test.select("player", "label", model.probability(signals).alias("score")), threshold).first()
+    if not sum(got[k] for k in ("tp", "fp", "fn", "tn")):
+        raise ValueError("no player is held out")
+    model.metrics = {k: float(got[k]) for k in ("precision", "recall", "f1", "auc")}
+    model.trained_on = {"rows": n, "players": players, "positives": positives, "trained": model.trained_on["rows"], "held_out": n - model.trained_on["rows"]}
+    return model

@@ -483,19 +483,23 @@ def _live(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _drained(stream, mode="append"):
+def _shared(spark, name):
+    """A new path in the folder that driver and executors share."""
     import tempfile
     import uuid
 
-    from .streaming import live
-
-    spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tellstone-")
-    return live.drain(stream, f"{base.rstrip('/')}/live_{uuid.uuid4().hex}", mode)
+    return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+
+def _drained(stream, mode="append"):
+    from .streaming import live
+
+    return live.drain(stream, _shared(stream.sparkSession, "live"), mode)
 
 
 @query("SELECT DISTINCT user_id AS steamid FROM events")
@@ -521,10 +525,10 @@ def stream_bursts(spark, d):
 
 @query()
 def simulated_match(spark, d):
-    """All three-dimensional detectors over a small synthetic match."""
+    """All three-dimensional detectors over a synthetic match, long enough for each to be confident."""
     from .plans import simulation
 
-    found = sc.analyze(simulation.to_matches(spark, simulation.match(7, 4, length=480)))
+    found = sc.analyze(simulation.to_matches(spark, simulation.match(7, 16, length=1920)))
     return found.select("steamid", "name", "kills", "score", F.array_join("flags", ",").alias("flags"))
 
 
@@ -558,7 +562,7 @@ for _name, _columns in COUNTS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
 
 
-from . import detector_queries  # noqa: E402, F401  registers its queries
+from . import detector_queries, store_queries  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

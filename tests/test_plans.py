@@ -4,7 +4,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from tellstone import schema
 from tellstone.plans import catalog, history, learn, plugins, report, risk, share, simulation
+from tellstone.schema import Matches
 from tellstone.sources import launchers, valve
 
 BASE = 76561197960265728
@@ -101,6 +103,32 @@ def test_plugins(spark, tmp_path):
     assert wrong.name == "plugin_bad_error" and wrong.evidence[0].detail
     with pytest.raises(ValueError):
         plugins.register("x", set(), (), lambda t, p: {})
+    with pytest.raises(ValueError):
+        plugins.register("x", set(), ("y",), lambda t, p: {}, ("deaths",))
+
+
+def test_plugins_see_the_tables_they_name(spark, tmp_path):
+    from tellstone.params import Params
+
+    (tmp_path / "duel.py").write_text('REQUIRES = {"kills"}\nPRODUCES = ("duel",)\nTABLES = ("kills", "rounds", "shots")\ndef analyze(t, params):\n    return {"duel": (int(t["kills"].attacker.max() % 10) / 10, len(t["kills"]) + 10 * len(t["shots"]) + 100 * len(t["rounds"]), True)}\n')
+    m = Matches.empty(spark)
+    big = 76561197960265730
+    m.players = spark.createDataFrame([("m", big, "a", 2), ("m", big + 1, "b", 3), ("m", big + 2, "c", 3)], schema.PLAYERS)
+    kill = lambda k, a, b: ("m", k, k, a, b, "w", False, 1, False, False, 0)
+    m.kills = spark.createDataFrame([kill(1, big, big + 1), kill(2, big, 5), kill(3, None, big + 1)], schema.KILLS)
+    m.rounds = spark.createDataFrame([("m", 1, 0, 9), ("m", 2, 10, 19)], schema.ROUNDS)
+    found = dict(plugins.discover(str(tmp_path)))["duel"].plan(m, Params()).collect()
+    assert sorted((r.steamid - big, r.name, r.samples) for r in found) == [(0, "duel", 202), (1, "duel", 202), (2, "plugin_duel_error", 0)]
+    assert {r.value for r in found if r.name == "duel"} == {big % 10 / 10}
+
+
+def test_held_out_metrics(spark):
+    rows = spark.range(800).select((F.col("id") % 200).alias("player"), (F.col("id") % 4 == 0).cast("int").alias("label"), (F.when(F.col("id") % 4 == 0, 0.9).otherwise(0.1) + F.col("id") % 7 / 100).alias("snap"))
+    model = learn.train_held_out(rows, ["snap"])
+    assert model.metrics == {"precision": 1.0, "recall": 1.0, "f1": 1.0, "auc": 1.0}
+    assert model.trained_on["trained"] + model.trained_on["held_out"] == 800 and 120 < model.trained_on["held_out"] < 360
+    with pytest.raises(ValueError):
+        learn.train_held_out(rows.limit(20), ["snap"])
 
 
 def test_reports_escape(spark):
