@@ -90,14 +90,10 @@ def digests(data: bytes | memoryview, start: np.ndarray, stop: np.ndarray) -> np
     return np.frombuffer(b"".join(each), np.uint64).reshape(-1, 2)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words (bytes between white space) of texts: the name of each, the number of its text, all words with a space after each, and where each starts there.
-
-    A name is the first half of the word's digest; each distinct word of the
-    batch is digested once.
-    """
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The words (bytes between white space) of texts: the code of each, the number of its text, all words with a space after each, where each starts there, and the distinct words by code."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), data, np.zeros(1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), data, np.zeros(1, np.int64), pa.array([], pa.large_binary())
     space = SPACE[data]
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[0] = after[-1] = True
@@ -111,13 +107,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tight, at = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(length + 1)])
     flat = data[~space]
     column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(tight), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-    known = column.dictionary
-    edges = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int64)
-    body = memoryview(known.buffers()[2]) if known.buffers()[2] is not None else memoryview(b"")
-    named = digests(body, edges[:-1], edges[1:])[:, 0] if len(known) else np.zeros(0, np.uint64)
     spaced = np.full(at[-1], 32, np.uint8)
     spaced[np.arange(len(flat)) + np.repeat(np.arange(len(start)), length)] = flat
-    return named[column.indices.to_numpy()], owner, spaced, at
+    return column.indices.to_numpy(), owner, spaced, at, column.dictionary
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As coded(), with a name for each word in place of its code.
+
+    A name is the first half of the word's digest; each distinct word of the
+    batch is digested once.
+    """
+    codes, owner, spaced, at, known = coded(data, offsets)
+    edges = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int64)
+    body = memoryview(known.buffers()[2]) if len(known) and known.buffers()[2] is not None else memoryview(b"")
+    named = digests(body, edges[:-1], edges[1:])[:, 0] if len(known) else np.zeros(0, np.uint64)
+    return named[codes], owner, spaced, at
 
 
 def least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

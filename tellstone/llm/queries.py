@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, forest, licenses, pieces, quality, recompression, simhash, suffixes, warc
+from . import attribution, audit, decontaminate, forest, licenses, maxscore, periods, pieces, quality, recompression, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,40 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embedding = F.col("embedding").cast("array<double>")
+    finite = F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
+    rows = _table(spark, sf_dir, "embeddings").filter(finite).select("vec_id", maxscore.quantized(embedding).alias("vector"))
+    return maxscore.top_k(rows, F.col("vec_id") % 20 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """docs, about one in ten of which repeats some of its words to its end; which, and what, its doc_id says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    docs = docs.withColumn("_g", F.when(h % 10 == 0, g)).withColumn("_words", F.when(F.col("_g").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("_words")
+    docs = docs.withColumn("_n", F.when(n > 0, n)).withColumn("_a", (F.col("_g") % F.col("_n")).cast("int"))
+    docs = docs.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    again = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    return docs.withColumn("text", F.when(F.col("_n").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text"))).drop("_g", "_words", "_n", "_a", "_p")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    found = periods.collapsed(docs).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -66,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_top_k": op11_top_k,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -153,5 +190,54 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT F
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 50)::INT
+    + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * strlen(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(w.doc_id > first_id, false)::INT AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+p AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (
+  SELECT filter_order, step, (2 ^ (ascii(substr(filter_order, step, 1)) - 65))::INT AS bit,
+    list_sum(list_transform(range(1, step), lambda i: (2 ^ (ascii(substr(filter_order, i::INT, 1)) - 65))::INT))::INT AS earlier
+  FROM p, (SELECT unnest(range(1, 6))::INT AS step) WHERE length(filter_order) = 5),
+o AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (fails & (bit | coalesce(earlier, 0)) = 0) AS kept,
+    sum(n) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) = 0) AS removed,
+    sum(n) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) > 0) AS redundant,
+    sum(n) FILTER (fails = bit) AS unique_fails,
+    sum(good) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) = 0) AS good_lost,
+    sum(toxic) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) = 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op10_embedding_dedup": OP10_SQL, "op11_top_k": OP11_SQL, "op12_filter_audit": OP12_SQL}
