@@ -562,7 +562,7 @@ for _name, _columns in COUNTS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
 
 
-from . import detector_queries, store_queries  # noqa: E402, F401  register their queries
+from . import detector_queries, live_queries, store_queries  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,6 +24,15 @@ def _side(name: Column) -> Column:
     return F.when(F.upper(name).isin("CT", "BLUE"), 3).when(F.upper(name).isin("TERRORIST", "T", "RED"), 2).otherwise(0)
 
 
+def kill_parts(line: str = "value") -> dict[str, Column]:
+    """What a kill line says; null or empty for other lines."""
+    part = lambda i: F.regexp_extract(line, KILL, i)
+    return {
+        "attacker": steam64(part(4)), "attacker_name": part(2), "attacker_team": _side(part(5)),
+        "victim": steam64(part(9)), "victim_name": part(7), "victim_team": _side(part(10)), "weapon": part(12), "headshot": part(13).contains("headshot"),
+    }
+
+
 def kills_of(lines: DataFrame, line: str = "value") -> DataFrame:
     """The kill lines among lines, with what they say."""
     part = lambda i: F.regexp_extract(line, KILL, i)

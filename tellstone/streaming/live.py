@@ -94,23 +94,30 @@ def burst_alerts(kills: DataFrame, window_seconds: float = 1.2, least: int = 3,
     return timed.groupBy("match_id", "attacker").applyInPandasWithState(update, ALERTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, path: str, mode: str = "append", timers: bool = False) -> DataFrame:
     """Run a stream over what is there now and return the rows that it gives, from tables under path that all executors share.
 
     In complete mode each batch is the whole result, and the last one counts.
+    A stream whose state has timers of processing time always has a batch to
+    run; with timers, only batches with new rows are run, so that it ends.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batches/number={number}")
-
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{path}/batches/drained={number}")
+
+    spark, empty = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, str(not timers and before == "true").lower())
+    try:
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(empty, before)
     query.awaitTermination()
-    spark = stream.sparkSession
     if query.lastProgress is None:
         return spark.createDataFrame([], stream.schema)
-    found = spark.read.schema(StructType([*stream.schema.fields, StructField("number", LongType())])).parquet(f"{path}/batches")
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("drained", LongType())])).parquet(f"{path}/batches")
     if mode == "complete":
-        found = found.filter(F.col("number") == found.agg(F.max("number")).first()[0])
+        found = found.filter(F.col("drained") == found.agg(F.max("drained")).first()[0])
     return found.select(*stream.columns)
 
 
