@@ -34,6 +34,7 @@ def failures(docs: DataFrame, labels: DataFrame, part: Column, conditions: dict[
     own = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(conditions.values())), F.lit(0))
     texts = measured_texts(docs.select("doc_id", "text", F.coalesce(part.cast("string"), F.lit("")).alias("part")))
     rows = texts.select("doc_id", "part", own.alias("fails"), "digest").groupBy("doc_id", "part", "fails", "digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows)  # what follows counts its keys before it joins them
     marks = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     # Both sides grow with the documents, so that neither is broadcast.
     rows = stored(joined(rows, marks.filter("doc_id is not null"), ["doc_id"], "left", F.col("digest"), limit=0))
