@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hints import first_hint
 from ..schema import SUPPORT
 
 #: What each support level stands for.
@@ -32,11 +33,15 @@ def capabilities(games: DataFrame) -> DataFrame:
 def identify(rows: DataFrame, games: DataFrame, hints: DataFrame) -> DataFrame:
     """rows (name, app_id) with the key of their game: by the store's id, else by the first hint (ordinal, hint, key) in the name.
 
-    hints is a small ordered table; it is gathered into one array beside each
-    row only as that table's single row.
+    Of games with the same id the first in the catalogue counts, by its ordinal if it has one.
     """
-    by_id = games.filter("steam_appid is not null").select(F.col("steam_appid").cast("string").alias("app_id"), F.col("key").alias("_by_id")).dropDuplicates(["app_id"])
-    listed = hints.agg(F.sort_array(F.collect_list(F.struct("ordinal", "hint", "key"))).alias("_hints"))
-    out = rows.join(by_id, "app_id", "left").crossJoin(F.broadcast(listed))  # one row
-    first = F.try_element_at(F.filter("_hints", lambda h: F.lower("name").contains(h["hint"])), F.lit(1))["key"]
-    return out.withColumn("key", F.coalesce("_by_id", first)).drop("_by_id", "_hints")
+    order = "ordinal" if "ordinal" in games.columns else "key"
+    by_id = games.filter("steam_appid is not null").groupBy(F.col("steam_appid").cast("string").alias("app_id")).agg(F.min_by("key", order).alias("_by_id"))
+    out = first_hint(rows, "name", hints, "_hint").join(by_id, "app_id", "left")
+    return out.withColumn("key", F.coalesce("_by_id", "_hint")).drop("_by_id", "_hint")
+
+
+def launcher(rows: DataFrame, hints: DataFrame, name: str = "name", publisher: str = "publisher") -> DataFrame:
+    """rows with the launcher of the first hint (ordinal, hint, key) in the name and publisher of an installed game."""
+    both = F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(publisher, F.lit("")))
+    return first_hint(rows, both, hints, "launcher")

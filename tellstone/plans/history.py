@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ratio
+from ..operators.hints import first_hint as hint_of
 
 
 def distribution(values: DataFrame, name: str, value: str, least: int = 30, floor: float = 0.01) -> DataFrame:
@@ -200,9 +201,6 @@ def richest(rows: DataFrame, keys: list[Column], richness: Column, order: list)
 
 
 def first_hint(rows: DataFrame, text: str, hints: list[tuple[str, str]], key: str) -> DataFrame:
-    """rows with the key of the first hint that its text contains, in lower case.
-
-    Hints are a fixed list, so the test is one expression and no join.
-    """
-    found = F.coalesce(*[F.when(F.lower(text).contains(h), F.lit(k)) for h, k in hints]) if hints else F.lit(None).cast("string")
-    return rows.withColumn(key, found)
+    """rows with the key of the first hint in the list that its text contains, in lower case."""
+    table = rows.sparkSession.createDataFrame([(i, h, k) for i, (h, k) in enumerate(hints)], "ordinal int, hint string, key string")
+    return hint_of(rows, text, table, key)

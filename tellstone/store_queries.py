@@ -94,3 +94,34 @@ def evaluated_model(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select((F.col("doc_id") % 100).alias("player"), (F.col("quality") == 0).cast("int").alias("label"), F.create_map(F.lit("length"), F.struct(g.clamp01(F.col("n_chars") / 5000.0).alias("value"))).alias("signals"))
     scored = rows.select("player", "label", learn.Model({"length": -3.0}, 0.5).probability().alias("score"))
     return learn.evaluate(scored).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "auc")])
+
+
+#: Stretches of the parts' names, as ordered hints: three of each part, so there are thousands.
+HINTS_SQL = """h AS (
+  SELECT (p_partkey * 7919 + k * 104729) % 1000003 * 3 + k AS ordinal, lower(substr(p_name, CAST(1 + (p_partkey + k) % 5 AS BIGINT), CAST(2 + (p_partkey + 3 * k) % 7 AS BIGINT))) AS hint, 'h' || p_partkey || '.' || k AS key
+  FROM part, (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def many_hints(spark, d):
+    k, part = F.col("k"), F.col("p_partkey")
+    rows = table(spark, d, "part").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    hint = F.lower(F.substring("p_name", (1 + (part + k) % 5).cast("int"), (2 + (part + 3 * k) % 7).cast("int")))
+    return rows.select(((part * 7919 + k * 104729) % 1000003 * 3 + k).alias("ordinal"), hint.alias("hint"), F.concat(F.lit("h"), part, F.lit("."), k).alias("key"))
+
+
+@query(f"""WITH {HINTS_SQL} SELECT p_partkey, (SELECT arg_min(key, ordinal) FROM h WHERE contains(lower(trim(p_name || ' ' || p_type)), hint)) AS hint FROM part""")
+def hint_many(spark, d):
+    """The first of thousands of ordered hints in each part's name and type."""
+    from .operators import hints
+
+    rows = table(spark, d, "part").withColumn("text", F.concat("p_name", F.lit(" "), "p_type"))
+    return hints.first_hint(rows, "text", many_hints(spark, d), "hint").select("p_partkey", "hint")
+
+
+@query(f"""WITH {HINTS_SQL} SELECT p_partkey, (SELECT arg_min(key, ordinal) FROM h WHERE contains(lower(trim(p_brand || ' ' || p_name)), hint)) AS launcher FROM part""")
+def hint_launcher(spark, d):
+    """The launcher that an installed game's name and publisher hint at."""
+    from .plans import catalog
+
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_name").alias("publisher"))
+    return catalog.launcher(rows, many_hints(spark, d)).select("p_partkey", "launcher")
