@@ -76,13 +76,18 @@ def co_occurrence(members: DataFrame, match: str, player: str, team: str, score:
 
 
 def explain(observations: DataFrame, player: str, score: str, time: str, source: str | None = None, contains: str = "") -> DataFrame:
-    """Each player's observation with the highest score, the latest of equal ones, and the number of the others."""
-    rows = observations
+    """One observation of each player, and the number of all the player's others.
+
+    It is the one with the highest score, the latest of equal ones; or, with
+    contains, the latest whose source contains that in lower case.  Players
+    without such an observation have no row.
+    """
+    best = F.struct(F.coalesce(score, F.lit(0)), time)
     if source and contains:
-        rows = rows.filter(F.lower(source).contains(contains.lower()))
-    w = W.partitionBy(player)
-    ranked = rows.withColumn("others", F.count(F.lit(1)).over(w) - 1).withColumn("_n", F.row_number().over(w.orderBy(F.desc(score), F.desc(time))))
-    return ranked.filter("_n = 1").drop("_n")
+        best = F.when(F.lower(source).contains(contains.lower()), F.struct(time))
+    row = F.struct(*[F.col(f"`{c}`") for c in observations.columns if c != player])
+    found = observations.groupBy(player).agg(F.max_by(row, best).alias("_row"), (F.count(F.lit(1)) - 1).alias("others"), F.max(best.isNotNull()).alias("_any"))
+    return found.filter("_any").select(*[F.col(player) if c == player else F.col(f"_row.`{c}`").alias(c) for c in observations.columns], "others")
 
 
 def pending(players: DataFrame, key: str, checks: DataFrame, check_key: str, checked_at: Column, since: Column) -> DataFrame:

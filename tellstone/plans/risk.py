@@ -44,7 +44,7 @@ def _lifetime(stat: str) -> Column:
     return F.try_element_at(F.try_element_at(own, F.lit(1))["stats"], F.lit(stat))["value"]
 
 
-#: For each platform, the name it shows and its rules over a captured payload; an empty payload is an absent account.
+#: For each platform, the name it shows and its rules over a captured payload: points, and what they are for.
 PLATFORMS: dict[str, tuple] = {
     "faceit": (lambda: _text("$.nickname"), lambda: [(F.size(F.from_json(_text("$.bans"), "array<string>")) > 0, 60, "banned")]),
     "steamcommunity": (lambda: _xml("steamID"), lambda: [(_xml("vacBanned") == "1", 45, "banned"), (_xml("privacyState").isin("private", "friendsonly"), 15, "private profile"), (_xml("isLimitedAccount") == "1", 10, "limited account")]),
@@ -60,28 +60,41 @@ PLATFORMS: dict[str, tuple] = {
     "lichess": (lambda: _text("$.username"), lambda: [(F.lower(_text("$.tosViolation")) == "true", 90, "violation of the terms")]),
     "chesscom": (lambda: _text("$.username"), lambda: [(F.lower(_text("$.status")).rlike("fair_play|abuse"), 90, "closed for fair play or abuse")]),
     "tracker": (lambda: _text("$.data.platformInfo.platformUserHandle"), lambda: [(_lifetime("headshots") >= 3000, 25, "many headshots")]),
-    "runescape": (lambda: F.lit(None).cast("string"), lambda: [(F.split(F.split("payload", "\n")[0], ",")[1].try_cast("int") <= 0, 20, "no level")]),
+    "runescape": (lambda: F.lit(None).cast("string"), lambda: [(F.trim("payload") == "", 0, "no profile in the lists"), ((F.trim("payload") != "") & (_level() <= 0), 20, "no level")]),
+    "battlemetrics": (lambda: F.lit(None).cast("string"), lambda: [(_bans() >= 1, 25, "community bans"), (_bans() == 2, 25, None), (_bans() == 3, 50, None), (_bans() >= 4, 75, None)]),
 }
 
 
+def _bans() -> Column:
+    return F.coalesce(F.size(F.from_json(_text("$.data"), "array<string>")), F.lit(0))
+
+
+def _level() -> Column:
+    """The second number of the first line that isn't blank; 0 if there is none, null if it is no number."""
+    first = F.try_element_at(F.filter(F.split("payload", r"\r\n|\r|\n"), lambda x: F.trim(x) != ""), F.lit(1))
+    parts = F.split(first, ",")
+    return F.when(F.size(parts) < 2, 0).otherwise(F.trim(F.try_element_at(parts, F.lit(2))).try_cast("int"))
+
+
 def platform_profiles(payloads: DataFrame) -> DataFrame:
-    """payloads (platform, account, payload) with the name shown, risk, reasons and error.
+    """payloads (platform, account, payload) with the name shown, risk, reasons and error, in one pass.
 
-    A payload that is null is an answer that failed: no risk, and error says so.
-    Platforms without rules here give risk 0.  battlemetrics gives 25 for each
-    ban, up to 100.
+    An answer that failed has no risk, and error says so: a null payload, or
+    one of runescape whose level is no number.  Platforms without rules here
+    give risk 0.  battlemetrics gives 25 for each ban, up to 100.
     """
-    out = None
-    for name, (shown, rules) in PLATFORMS.items():
-        mine = capped(payloads.filter((F.col("platform") == name) & F.col("payload").isNotNull()), rules())
-        mine = mine.withColumn("shown", shown())
-        out = mine if out is None else out.unionByName(mine)
-    bans = F.coalesce(F.size(F.from_json(_text("$.data"), "array<string>")), F.lit(0))
-    mine = payloads.filter("platform = 'battlemetrics' and payload is not null").withColumn("risk", F.least(F.lit(100), 25 * bans).cast("int"))
-    mine = mine.withColumn("reasons", F.when(F.col("risk") > 0, F.array(F.lit("community bans"))).otherwise(F.array().cast("array<string>"))).withColumn("shown", F.lit(None).cast("string"))
-    known = [*PLATFORMS, "battlemetrics"]
-    failed = payloads.filter(F.col("payload").isNull() | F.col("platform").isNull() | ~F.col("platform").isin(known)).withColumn("risk", F.lit(0)).withColumn("reasons", F.array().cast("array<string>")).withColumn("shown", F.lit(None).cast("string"))
-    return out.unionByName(mine).unionByName(failed).withColumn("error", F.col("payload").isNull()).drop("payload")
+    none = F.array().cast("array<string>")
+    shown, points, reasons = F.lit(None).cast("string"), F.lit(0), none
+    for name, (own, rules) in PLATFORMS.items():
+        mine = F.col("platform") == name
+        held = [(F.coalesce(c, F.lit(False)), p, r) for c, p, r in rules()]
+        shown = F.when(mine, own()).otherwise(shown)
+        points = F.when(mine, sum((F.when(c, p).otherwise(0) for c, p, _ in held), F.lit(0))).otherwise(points)
+        said = [F.when(c, r) for c, _, r in held if r]
+        reasons = F.when(mine, F.array_compact(F.array(*said)) if said else none).otherwise(reasons)
+    failed = F.col("payload").isNull() | F.coalesce((F.col("platform") == "runescape") & (F.trim("payload") != "") & _level().isNull(), F.lit(False))
+    out = payloads.withColumns({"risk": F.when(failed, 0).otherwise(F.least(F.lit(100), points)).cast("int"), "reasons": F.when(failed, none).otherwise(reasons), "shown": F.when(~failed, shown), "error": failed})
+    return out.drop("payload")
 
 
 def dota_account(steamid) -> Column:

@@ -125,3 +125,34 @@ def hint_launcher(spark, d):
 
     rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_name").alias("publisher"))
     return catalog.launcher(rows, many_hints(spark, d)).select("p_partkey", "launcher")
+
+
+#: Answers of platforms on both sides of each rule, with the risk and the reasons that they give: those of customer k are the (k mod n)-th.
+ANSWERS = [
+    ("lichess", '{"username": "a", "tosViolation": true}', 90, 1), ("lichess", '{"username": "a"}', 0, 0),
+    ("chesscom", '{"status": "closed:fair_play_violations"}', 90, 1), ("chesscom", '{"status": "premium"}', 0, 0),
+    ("gametools", '{"headShots": "40.0%"}', 35, 1), ("gametools", '{"headShots": "39.9%"}', 0, 0),
+    ("osu", "[]", 40, 1), ("osu", '[{"user_id": "7", "username": "u"}]', 0, 0),
+    ("faceit", '{"nickname": "f", "bans": [{"x": 1}]}', 60, 1), ("faceit", '{"nickname": "f", "bans": []}', 0, 0),
+    ("openxbl", '{"people": []}', 30, 1), ("openxbl", '{"people": [{"xuid": "1", "gamertag": "g"}]}', 0, 0),
+    ("battlemetrics", '{"data": [{}, {}, {}]}', 75, 1), ("battlemetrics", '{"data": [{}, {}, {}, {}, {}]}', 100, 1), ("battlemetrics", '{"data": []}', 0, 0),
+    ("steamcommunity", "<p><vacBanned>1</vacBanned><privacyState>private</privacyState></p>", 60, 2), ("steamcommunity", "<p><vacBanned>0</vacBanned></p>", 0, 0),
+    ("runescape", "no such player", 20, 1), ("runescape", "", 0, 1), ("runescape", "1,0,0", 20, 1), ("runescape", "1,500,9\n2,3,4", 0, 0), ("runescape", "1,many,9", 0, 0),
+    ("unknown", "{}", 0, 0), ("lichess", None, 0, 0),
+]
+
+
+ANSWERS_SQL = "SELECT c_custkey, CASE c_custkey % {n} {risk} END AS risk, CASE c_custkey % {n} {reasons} END AS n_reasons, c_custkey % {n} IN ({failed}) AS error FROM customer".format(
+    n=len(ANSWERS), risk=" ".join(f"WHEN {i} THEN {a[2]}" for i, a in enumerate(ANSWERS)), reasons=" ".join(f"WHEN {i} THEN {a[3]}" for i, a in enumerate(ANSWERS)),
+    failed=", ".join(str(i) for i, a in enumerate(ANSWERS) if a[1] is None or "many" in a[1]))
+
+
+@query(ANSWERS_SQL)
+def platform_answers(spark, d):
+    """Every rule of the platforms in one pass over captured answers, with those that fail."""
+    from .plans import risk
+
+    k = F.col("c_custkey") % len(ANSWERS)
+    choose = lambda i: F.coalesce(*[F.when(k == n, F.lit(a[i])) for n, a in enumerate(ANSWERS)])
+    found = risk.platform_profiles(table(spark, d, "customer").select("c_custkey", choose(0).alias("platform"), choose(1).alias("payload")))
+    return found.select("c_custkey", "risk", F.size("reasons").alias("n_reasons"), "error")

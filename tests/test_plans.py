@@ -175,3 +175,22 @@ def test_catalog(spark):
     assert {r.support: r.n for r in catalog.counts(games).collect()} == {"full": 1, "account": 1, "none": 1, "total": 3}
     assert {r.key for r in catalog.at_least(games, "account").collect()} == {"cs2", "tft"}
     assert "angles" in catalog.capabilities(games).filter("key = 'cs2'").first().capabilities
+
+
+def test_no_answer_stops_the_others(spark):
+    rows = [("runescape", "a", "no such player"), ("runescape", "b", ""), ("runescape", "c", "1,x,2"), ("runescape", "d", "\n\n5, 7 ,9"), ("runescape", "e", None), ("lichess", "f", "not json"), ("lichess", "g", '{"tosViolation": true}'), (None, "h", "x"), ("never heard of", "i", "1"), ("battlemetrics", "j", "[")]
+    got = {r.account: (r.risk, r.reasons, r.error) for r in risk.platform_profiles(spark.createDataFrame(rows, "platform string, account string, payload string")).collect()}
+    assert got == {
+        "a": (20, ["no level"], False), "b": (0, ["no profile in the lists"], False), "c": (0, [], True), "d": (0, [], False), "e": (0, [], True), "f": (0, [], False),
+        "g": (90, ["violation of the terms"], False), "h": (0, [], False), "i": (0, [], False), "j": (0, [], False),
+    }
+    plan = risk.platform_profiles(spark.createDataFrame(rows, "platform string, account string, payload string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Union" not in plan
+
+
+def test_explain_takes_the_latest_of_a_source(spark):
+    rows = [(1, 50.0, 3, "Cup A"), (1, 90.0, 2, "cup b"), (1, 90.0, 1, "league"), (1, 10.0, 4, "CUP c"), (2, None, 1, "x"), (2, None, 2, None)]
+    df = spark.createDataFrame(rows, "steamid long, score double, at long, source string")
+    best = history.explain(df, "steamid", "score", "at").orderBy("steamid").collect()
+    assert [tuple(r) for r in best] == [(1, 90.0, 2, "cup b", 3), (2, None, 2, None, 1)]
+    assert [tuple(r) for r in history.explain(df, "steamid", "score", "at", "source", "Cup").collect()] == [(1, 10.0, 4, "CUP c", 3)]
