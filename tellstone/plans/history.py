@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ratio
 from ..operators.hints import first_hint as hint_of
+from ..store import Store
+from .ledger import newest
 
 
 def distribution(values: DataFrame, name: str, value: str, least: int = 30, floor: float = 0.01) -> DataFrame:
@@ -151,15 +153,58 @@ def prune(matches: DataFrame, match: str, time: str, keep: int, observations: Da
     return kept.unionByName(saved)
 
 
+def prune_plan(observations: DataFrame, matches: DataFrame, watched: DataFrame, keep: int) -> dict[str, DataFrame]:
+    """observations and matches that stay, and one row of counts, when matches beyond the keep newest go.
+
+    Observations of watched players (steamid) stay, and so do matches that
+    still have observations.  matches has match_id and analyzed_at.  The
+    history of bans isn't touched.
+    """
+    gone = matches.join(newest(matches, "analyzed_at", "match_id", keep).select("match_id"), "match_id", "left_anti").select("match_id")
+    lost = observations.join(gone, "match_id", "left_semi").join(watched.select("steamid"), "steamid", "left_anti").select("match_id", "steamid")
+    left = observations.join(gone, "match_id", "left_anti").unionByName(observations.join(gone, "match_id", "left_semi").join(watched.select("steamid"), "steamid", "left_semi"))
+    matches_left = matches.join(gone.join(left.select("match_id"), "match_id", "left_anti"), "match_id", "left_anti")
+    one = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))  # noqa: E731  one row each
+    counts = one(matches, "matches").crossJoin(one(matches_left, "matches_left")).crossJoin(one(lost, "observations_removed")).crossJoin(watched.agg(F.countDistinct("steamid").alias("protected")))
+    counts = counts.select("matches", (F.col("matches") - F.col("matches_left")).alias("matches_removed"), "observations_removed", "protected")
+    return {"observations": left, "matches": matches_left, "counts": counts}
+
+
+def prune_store(store: Store, keep: int = 500, dry_run: bool = True) -> DataFrame:
+    """What a store of observations, matches, checks and watched loses, in one row; without dry_run it loses it, in a new version."""
+    version = store.versions()[-1]
+    tables = {n: store.read(n, version) for n in ("observations", "matches", "checks", "watched")}
+    plan = prune_plan(tables["observations"], tables["matches"], tables["watched"], keep)
+    if not dry_run:
+        store.write(tables | {n: plan[n] for n in ("observations", "matches")}, after=version)
+    return plan["counts"]
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], time: str) -> DataFrame:
     """The latest row of each key of both, rows of new before equal ones of old."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     return both.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(time), F.desc("_new")))).filter("_n = 1").drop("_n", "_new")
 
 
-def save_observations(new: DataFrame, path: str) -> None:
-    """Write observations by match; matches that are there already are replaced."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
+def save_observations(new: DataFrame, path: str, parts: int = 256) -> None:
+    """Write observations; matches that are there already are replaced.
+
+    Rows are kept in parts by a hash of the match, however many matches there
+    are.  Parts that have none of the new matches aren't touched; the others
+    are written anew, first beside the table, so that a job that dies before
+    has changed nothing.
+    """
+    spark, part = new.sparkSession, F.pmod(F.xxhash64("match_id"), F.lit(parts)).cast("int")
+    new = new.withColumn("part", part)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        new.write.partitionBy("part").parquet(path)
+        return
+    touched = [r[0] for r in new.select("part").distinct().collect()]  # 256 numbers
+    old = spark.read.parquet(path).filter(F.col("part").isin(touched))
+    beside = f"{path.rstrip('/')}_new"
+    old.join(new.select("match_id").distinct(), "match_id", "left_anti").unionByName(new, allowMissingColumns=True).write.mode("overwrite").parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def save_checks(found: DataFrame, path: str) -> None:

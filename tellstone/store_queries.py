@@ -156,3 +156,39 @@ def platform_answers(spark, d):
     choose = lambda i: F.coalesce(*[F.when(k == n, F.lit(a[i])) for n, a in enumerate(ANSWERS)])
     found = risk.platform_profiles(table(spark, d, "customer").select("c_custkey", choose(0).alias("platform"), choose(1).alias("payload")))
     return found.select("c_custkey", "risk", F.size("reasons").alias("n_reasons"), "error")
+
+
+@query("""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey AS steamid FROM orders), m AS (SELECT DISTINCT day FROM o),
+n AS (SELECT day FROM m ORDER BY day DESC LIMIT 500), w AS (SELECT c_custkey AS steamid FROM customer WHERE c_mktsegment = 'MACHINERY'),
+k AS (SELECT * FROM o WHERE day IN (FROM n) OR steamid IN (FROM w)), l AS (SELECT day FROM m WHERE day IN (FROM n) OR day IN (SELECT day FROM k))
+SELECT (SELECT count(*) FROM m) AS matches, (SELECT count(*) FROM m) - (SELECT count(*) FROM l) AS matches_removed, (SELECT count(*) FROM o) - (SELECT count(*) FROM k) AS observations_removed,
+  (SELECT count(*) FROM w) AS protected, (SELECT count(*) FROM k) AS observations_left, (SELECT count(*) FROM l) AS matches_left, (SELECT count(*) FROM orders) AS checks_left, true AS as_announced""")
+def prune_versions(spark, d):
+    """Old matches leave a store in a new version, after a dry run that counts the same."""
+    from .store import Store
+
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("match_id"), F.col("o_custkey").alias("steamid"), F.unix_date(F.to_date("o_orderdate")).cast("long").alias("analyzed_at"))
+    watched = table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("steamid"))
+    store = Store(spark, _shared(spark, "store"))
+    store.write({"observations": orders.drop("analyzed_at"), "matches": orders.select("match_id", "analyzed_at").distinct(), "checks": checks(spark, d), "watched": watched})
+    said = h.prune_store(store, 500).first()
+    done = h.prune_store(store, 500, dry_run=False).first()
+    left = [store.read(n).agg(F.count(F.lit(1)).alias(f"{n}_left")) for n in ("observations", "matches", "checks")]  # one row each
+    out = left[0].crossJoin(left[1]).crossJoin(left[2]).withColumn("as_announced", F.lit(said == done))
+    return out.select(*[F.lit(done[c]).cast("long").alias(c) for c in ("matches", "matches_removed", "observations_removed", "protected")], "observations_left", "matches_left", "checks_left", "as_announced")
+
+
+@query("""WITH f AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT user_id % 3 AS size, count(*) AS files, count(*) FILTER (user_id % 2 = 0 OR n % 2 = 1) AS pending FROM f GROUP BY 1""")
+def ledger_pending(spark, d):
+    """Files (a user's is as large as its events are many) of which even users' are new and odd counts have grown since they were marked."""
+    from .plans import ledger
+
+    files = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("size")).withColumn("path", F.concat(F.lit("/in/"), "user_id", F.lit(".log")))
+    path = _shared(spark, "ledger")
+    for batch in (0, 0, 1):  # the first comes again
+        mine = files.filter(F.col("user_id") % 2 == 1).withColumn("size", F.when(F.col("size") % 2 == 1, F.col("size") - 1).otherwise(F.col("size") - (1 - batch)))
+        ledger.mark(mine, path, batch, F.lit(batch))
+    ledger.compact(spark, path, f"{path}_compact")
+    left = ledger.pending(files, ledger.marks(spark, f"{path}_compact")).select("path", F.lit(1).alias("is_pending"))
+    return files.join(left, "path", "left").groupBy((F.col("user_id") % 3).alias("size")).agg(F.count(F.lit(1)).alias("files"), F.count("is_pending").alias("pending"))
