@@ -14,8 +14,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-#: Distinct hashes up to which a set is put into the plan as a set of constants; larger ones are joined.
+#: Distinct values up to which constants() gives them.
 CONSTANTS = 50_000
+#: Slots of the filter of windows, at most: 8 MB in all, which tell two million windows from others at all but one place in 300.
+SLOTS = 1 << 14
 
 
 def lowered(text: Column) -> Column:
@@ -35,46 +37,63 @@ def constants(column: DataFrame, most: int) -> list | None:
 
 
 def windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, the length and the words of each window of each item."""
+    """item_id, and the length, the words and the hash of each window of each item."""
     items = benchmark.select(F.col("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
     starts = F.sequence(F.lit(1), F.size("w") - size + 1)
-    grams = items.select("item_id", size.alias("size"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("gram"))
-    return grams.distinct()
+    each = items.select("item_id", size.alias("size"), F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("g"))
+    return each.select("item_id", "size", F.array_join("g", " ").alias("gram"), F.xxhash64("g", "size").alias("hash")).distinct()
 
 
-def _ends(size: int) -> str:
-    """A hash of the first and the last word of the window of w that starts at i, from 1."""
-    return f"xxhash64(w[i - 1], w[i + {size - 2}])"
+def _places(hash_: Column) -> list[tuple[Column, Column]]:
+    """The two places of a hash in a slot of the filter: of 64 numbers one, and of its bits one."""
+    part = lambda k: F.shiftrightunsigned(hash_, k).bitwiseAND(63).cast("int")
+    return [(part(20), part(26)), (part(40), part(46))]
 
 
-def _scanned(docs: DataFrame, grams: DataFrame, limit: int, most: int) -> DataFrame:
+def _filter(grams: DataFrame, slots: int) -> tuple[DataFrame, int]:
+    """slot and its bits, 64 long integers, in which the places of all windows' hashes are set; and the number of slots.
+
+    Slots grow with the windows, 64 bits for each, up to the given number of
+    512 bytes each, whatever the benchmark is.
+    """
+    hashes = stored(grams.select("hash").distinct())
+    n = max(1, min(slots, hashes.count() // 64 + 1))
+    places = F.array(*[F.struct(a.alias("number"), b.alias("bit")) for a, b in _places(F.col("hash"))])
+    each = hashes.select(F.pmod("hash", F.lit(n)).alias("slot"), F.explode(places).alias("p")).select("slot", "p.number", F.expr("shiftleft(1L, p.bit)").alias("bits"))
+    numbers = each.groupBy("slot", "number").agg(F.bit_or("bits").alias("bits")).groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("number", "bits"))).alias("m"))
+    return stored(numbers.select("slot", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bits"))), n
+
+
+def _scanned(docs: DataFrame, grams: DataFrame, slots: int) -> DataFrame:
     """One pass over the texts: id, text_hash, doc_id, n_words, and at, size and gram of windows that may be known.
 
-    Each document has one row without a window (size 0).  A window may be
-    known if its first and last words, by their hash, are those of a known
-    one of its size; known ends are constants of the plan, and where they are
-    more than most, every window is taken.
+    Each document has one row without a window (size 0).  Each window of a
+    document is hashed, and only those become strings whose places are set in
+    a filter of the hashes of all known windows.
     """
-    known = grams.select("size", F.xxhash64(F.element_at(F.split("gram", " "), 1), F.element_at(F.split("gram", " "), -1)).alias("ends"))
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # n values at most
-    places = ["array(named_struct('i', 0, 'size', 0))"]
-    for size in sizes:
-        ends = constants(known.filter(F.col("size") == size).select("ends"), most // len(sizes))
-        all_of = f"sequence(1, size(w) - {size - 1})"
-        some = all_of if ends is None else f"filter({all_of}, i -> {_ends(size)} IN ({', '.join(f'{e}L' if e > -(1 << 63) else 'bigint(-9223372036854775808)' for e in ends)}))"
-        places.append(f"if(size(w) >= {size}, transform({some}, i -> named_struct('i', i, 'size', {size})), array())")
+    table, n = _filter(grams, slots)
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select("doc_id", *[c.alias(name) for name, c in identity().items()], words(whole).alias("w"))
-    # The places are made before they are exploded, so that generated code goes through them without a copy of w for each;
-    # explode_outer, as of explode the optimizer makes a filter that computes them (and w, at each use) once more.
-    each = split.withColumn("places", F.expr(f"concat({', '.join(places)})")).select("doc_id", "id", "text_hash", "w", F.explode_outer("places").alias("p"))
-    gram = F.when(F.col("p.size") > 0, F.array_join(F.slice("w", F.col("p.i"), F.col("p.size")), " "))
-    found = each.select("doc_id", "id", "text_hash", F.size("w").cast("long").alias("n_words"), (F.col("p.i") - 1).alias("at"), "p.size", gram.alias("gram"))
-    wanted = stored(grams.select("gram", "size").distinct().withColumn("known", F.lit(True)))
-    if measured(wanted) <= limit:
-        found = found.join(F.broadcast(wanted), ["gram", "size"], "left").filter((F.col("size") == 0) | F.col("known")).drop("known")
-    return stored(found)
+    # The first place stands for the document; those of each size follow one another.
+    hashes = ["array(CAST(NULL AS BIGINT))", *(f"if(size(w) >= {k}, transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}), {k})), array())" for k in sizes)]
+    # The hashes are made before they are exploded, so that generated code goes through them without a copy of w for each;
+    # outer, as otherwise the optimizer makes a filter that computes them (and w, at each use) once more.
+    each = split.withColumn("hashes", F.expr(f"concat({', '.join(hashes)})")).select("doc_id", "id", "text_hash", "w", F.posexplode_outer("hashes").alias("pos", "hash"))
+    each = each.withColumn("slot", F.pmod("hash", F.lit(n))).join(F.broadcast(table), "slot", "left")
+    number = lambda i: F.coalesce(F.get("bits", i), F.lit(0).cast("long"))
+    hit = [F.getbit(number(a), b) == 1 for a, b in _places(F.col("hash"))]
+    each = each.filter((F.col("pos") == 0) | (hit[0] & hit[1]))
+    at, size, before = F.lit(-1), F.lit(0), F.lit(1)
+    for k in sizes:
+        mine = F.greatest(F.size("w") - (k - 1), F.lit(0))
+        inside = (F.col("pos") >= before) & (F.col("pos") < before + mine)
+        at, size = F.when(inside, F.col("pos") - before).otherwise(at), F.when(inside, k).otherwise(size)
+        before = before + mine
+    gram = F.when(F.col("size") > 0, F.array_join(F.slice("w", F.col("at") + 1, F.greatest("size", F.lit(1))), " "))
+    found = each.select("doc_id", "id", "text_hash", "w", at.alias("at"), size.alias("size"))
+    return stored(found.select("doc_id", "id", "text_hash", F.size("w").cast("long").alias("n_words"), "at", "size", gram.alias("gram")))
 
 
 def _verified(found: DataFrame, grams: DataFrame, limit: int) -> DataFrame:
@@ -92,21 +111,23 @@ def _spans(hits: DataFrame) -> DataFrame:
     return far.groupBy("id", "text_hash", "run").agg(F.min("at").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BROADCAST_BYTES, most: int = CONSTANTS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BROADCAST_BYTES, slots: int = SLOTS) -> DataFrame:
     """What each row of docs (doc_id, text) holds of benchmark (item_id, text).
 
     Words are runs of ASCII letters, digits and other than ASCII characters,
     A-Z in lower case.  A window is n consecutive words of an item, or all of
     an item that has fewer, but not none.  Each word of a document inside any
-    occurrence of a window is hit.  The windows are broadcast up to limit
-    bytes, which are measured, and joined by a shuffle beyond it.  Returns
+    occurrence of a window is hit.  A filter of the windows' hashes, of slots
+    times 512 bytes at most, is broadcast; what it lets pass is compared with
+    the windows themselves, which are broadcast up to limit bytes, measured,
+    and shuffled beyond it.  Returns
     doc_id, n_words, n_hit, n_items and items_sha256 (of the ids of items with
     occurring windows, sorted as strings, with commas) and contaminated.  A
     null text has no words; rows with equal doc_id are judged apart by their
     texts, and each row gives a row.  Other columns are not used.
     """
     grams = stored(windows(benchmark, n))
-    found = _scanned(docs, grams, limit, most)
+    found = _scanned(docs, grams, slots)
     hits = stored(_verified(found, grams, limit))
     n_hit = _spans(hits).groupBy("id", "text_hash").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"))
     owners = grams.groupBy("gram", "size").agg(F.collect_list("item_id").alias("items"))
@@ -123,7 +144,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BROADC
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 10, limit: int = BROADCAST_BYTES, most: int = CONSTANTS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 10, limit: int = BROADCAST_BYTES, slots: int = SLOTS) -> DataFrame:
     """docs without what scan() finds, all columns kept, whatever their names are.
 
     remove: "documents" drops each row with a hit word; "spans" cuts the hit
@@ -132,7 +153,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: i
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
     grams = stored(windows(benchmark, n))
-    hits = stored(_verified(_scanned(docs, grams, limit, most), grams, limit))
+    hits = stored(_verified(_scanned(docs, grams, slots), grams, limit))
     rows = packed(docs, **identity())
     if remove == "documents":
         return joined(rows, hits.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_anti", limit=limit).select("row.*")

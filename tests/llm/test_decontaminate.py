@@ -88,3 +88,17 @@ def test_long_text(spark):
     b = spark.createDataFrame([(1, "a " * 10), (2, "z" * 1_000_000)], "item_id long, text string")
     assert sorted(tuple(r)[:4] for r in decontaminate.scan(d, b, limit=1 << 20).collect()) == [(1, 300_000, 300_000, 1), (2, 1, 1, 1)]
     assert sorted(r.text for r in decontaminate.clean(d, b, "spans").collect()) == ["", ""]
+
+
+def test_many_windows(spark):
+    """With 200,000 windows, hardly anything but hits becomes a string; with a full filter results are the same."""
+    rng = random.Random(6)
+    bench = [(k, " ".join(f"b{rng.randrange(3000)}" for _ in range(409))) for k in range(500)]
+    docs = [(k, " ".join(f"b{rng.randrange(3000)}" for _ in range(1000))) for k in range(100)] + [(1000 + k, bench[k][1]) for k in range(3)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    grams = decontaminate.windows(b, 10)
+    assert grams.count() == 200_000
+    assert 1200 <= decontaminate._scanned(d, grams, decontaminate.SLOTS).filter("size > 0").count() < 1200 + 0.005 * 100_000
+    for slots in (1, decontaminate.SLOTS):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.scan(d, b, slots=slots).collect()}
+        assert {k: v for k, v in got.items() if v != (0, 0)} == {1000 + k: (409, 1) for k in range(3)}
