@@ -192,3 +192,34 @@ def ledger_pending(spark, d):
     ledger.compact(spark, path, f"{path}_compact")
     left = ledger.pending(files, ledger.marks(spark, f"{path}_compact")).select("path", F.lit(1).alias("is_pending"))
     return files.join(left, "path", "left").groupBy((F.col("user_id") % 3).alias("size")).agg(F.count(F.lit(1)).alias("files"), F.count("is_pending").alias("pending"))
+
+
+def _answers(spark, d):
+    """A document for each customer: the player refers to its orders as matches; even ones are included, with an address of every third."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("long").alias("total"))
+    reference = F.struct(F.lit("match").alias("type"), F.col("o_orderkey").cast("string").alias("id"))
+    included = F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.lit("match").alias("type"), F.col("o_orderkey").cast("string").alias("id"), F.struct("total", F.lit(None).cast("string").alias("URL")).alias("attributes")))
+    asset = F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit("asset").alias("type"), F.concat(F.lit("a"), "o_orderkey").alias("id"), F.struct(F.lit(None).cast("long").alias("total"), F.concat(F.lit("https://x/"), "o_orderkey").alias("URL")).alias("attributes")))
+    rows = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", reference.alias("r"), included.alias("i"), asset.alias("a")))).alias("all"))
+    data = F.array(F.struct(F.lit("player").alias("type"), F.col("o_custkey").cast("string").alias("id"), F.struct(F.struct(F.transform("all", lambda x: x["r"]).alias("data")).alias("matches")).alias("relationships")))
+    more = F.array_compact(F.concat(F.transform("all", lambda x: x["i"]), F.transform("all", lambda x: x["a"])))
+    return rows.select("o_custkey", F.to_json(F.struct(data.alias("data"), more.alias("included"))).alias("payload"))
+
+
+@query("""SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS match, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place,
+CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS total FROM orders""")
+def linked_documents(spark, d):
+    """Matches that players' answers refer to, with what the answers include of them."""
+    from .plans import documents
+
+    found = documents.resolved(_answers(spark, d), "o_custkey")
+    return found.select("o_custkey", F.col("id").alias("match"), F.col("place").cast("long").alias("place"), F.get_json_object("attributes", "$.total").cast("long").alias("total"))
+
+
+@query("""SELECT o_custkey, count(*) AS matches, 'https://x/' || min(o_orderkey) FILTER (o_orderkey % 3 = 0) AS url FROM orders GROUP BY 1""")
+def telemetry_links(spark, d):
+    from .plans import documents
+
+    answers = _answers(spark, d)
+    matches = documents.matches_of(answers, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("matches"))
+    return matches.join(documents.telemetry_of(answers, "o_custkey"), "o_custkey", "left")
