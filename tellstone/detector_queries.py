@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .params import Burst, Context, Cursor, Movement, Params, Reaction, Recoil, Tracking
+from .params import Burst, Context, Cursor, Movement, Params, Reaction, Recoil, Snap, Tracking
 from .plans import signals
 from .plans.event_stream import as_field, as_match
 from .queries import DAY, SQL, E, events, query
@@ -169,3 +169,84 @@ SELECT sid AS steamid, 'user ' || sid AS name, kills, CAST(0 AS BIGINT) AS death
   CASE WHEN cc AND cv >= 0.6 THEN 'strong:context' WHEN cc AND cv >= 0.35 THEN 'moderate:context' END, CASE WHEN bc AND bv >= 0.6 THEN 'strong:burst' WHEN bc AND bv >= 0.35 THEN 'moderate:burst' END,
   CASE WHEN kills >= 10 AND 100.0 * headshots / kills >= 80 THEN 'high_hs_pct' END, CASE WHEN score >= 55 AND kills >= 6 THEN 'review' END], lambda v: v IS NOT NULL), ',') AS flags, CAST(evidence AS INTEGER) AS evidence FROM z"""
 SQL["match_scores"] = MATCH_SCORES
+
+
+#: Thresholds under which random aims snap and rest now and then.
+AIMED = Params(snap=Snap(lookback_ticks=4, lookahead_ticks=6, off_target_deg=70, on_target_deg=55, max_transition_ticks=3, extreme_angvel=150, low_jitter_deg=22, min_jitter_samples=4, jitter_window_deg=90, post_lock_max_stdev=32, post_lock_min_ticks=4), tickrate=4.0)
+
+_aimed = f"""{FIELD},
+near AS (SELECT kills.sid, kt, s.t, row_number() OVER (PARTITION BY kills.sid, kt ORDER BY s.t DESC) AS n, max(s.t) OVER (PARTITION BY kills.sid, kt) AS last
+  FROM kills JOIN f s ON s.sid = kills.sid AND s.kind = 'click' AND s.t BETWEEN kt - 10 AND kt),
+anchors AS (SELECT sid, kt, min(t) AS anchor FROM near WHERE t + n = last + 1 GROUP BY 1, 2),
+frames AS (
+  SELECT k.sid, k.kt, a.t, {_between('a.pitch', 'a.yaw', 'lag(a.pitch) OVER w', 'lag(a.yaw) OVER w')} AS moved, row_number() OVER w AS i,
+    CASE WHEN b.alive THEN {AIM} END AS error
+  FROM kills k LEFT JOIN anchors n ON n.sid = k.sid AND n.kt = k.kt JOIN f a ON a.sid = k.sid AND a.t BETWEEN coalesce(n.anchor, k.kt) - 4 AND coalesce(n.anchor, k.kt) + 6
+    LEFT JOIN f b ON b.sid = k.victim AND b.t = a.t
+  WINDOW w AS (PARTITION BY k.sid, k.kt ORDER BY a.t)),
+marked AS (
+  SELECT *, max(i) FILTER (error >= 70) OVER before AS off, max(i) FILTER (error <= 55) OVER before AS again, coalesce(bool_or(error > 55 * 2.5) OVER (PARTITION BY sid, kt ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), false) AS leaves,
+    count(error) OVER tail AS left_n, stddev_samp(error) OVER tail AS left_sd
+  FROM frames WINDOW before AS (PARTITION BY sid, kt ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), tail AS (PARTITION BY sid, kt ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fights AS (
+  SELECT sid, kt, coalesce(max(moved), 0) AS peak, count(error) FILTER (error <= 90) AS locked, coalesce(stddev_samp(error) FILTER (error <= 90), 0) AS sd,
+    min(t) FILTER (error <= 55 AND off IS NOT NULL AND (again IS NULL OR again < off) AND i - off <= 3 AND NOT leaves AND left_n >= 4 AND coalesce(left_sd, 0) <= 32) AS hit
+  FROM marked GROUP BY 1, 2 HAVING count(*) >= 4 AND count(error) >= 4),
+c AS (
+  SELECT sid, count(*) AS n, count(hit) AS snaps, count_if(peak >= 150) AS extreme, count_if(locked >= 4) AS locked, count_if(locked >= 4 AND sd <= 22) AS flat,
+    string_agg(hit, ',' ORDER BY kt) FILTER (hit IS NOT NULL) AS hits, string_agg(kt, ',' ORDER BY kt) FILTER (locked >= 4 AND sd <= 22) AS stills
+  FROM fights GROUP BY sid),
+s AS (SELECT sid, coalesce(n, 0) AS n, coalesce(snaps, 0) AS snaps, coalesce(extreme, 0) AS extreme, coalesce(locked, 0) AS locked, coalesce(flat, 0) AS flat, coalesce(hits, '') AS hits, coalesce(stills, '') AS stills FROM players LEFT JOIN c USING (sid))"""
+
+
+def _first(column: str, n: int) -> str:
+    return f"array_to_string(string_split({column}, ',')[1:{n}], ',')"
+
+
+def _with_ticks(found: DataFrame, name: str) -> DataFrame:
+    """As _shown(), with the ticks of the evidence in their order."""
+    ticks = F.array_join(F.transform("evidence", lambda e: e["tick"].cast("string")), ",")
+    return found.filter(F.col("name") == name).select("steamid", F.round("value", 6).alias("value"), "samples", "confident", ticks.alias("ticks"))
+
+
+@query(f"WITH RECURSIVE {_aimed} SELECT sid AS steamid, round(greatest({_ramp(_ratio('snaps', 'n'), 0.05, 0.45)}, 0.7 * {_ramp(_ratio('extreme', 'n'), 0.10, 0.60)}), 6) AS value, CAST(n AS BIGINT) AS samples, n >= 5 AS confident, {_first('hits', 8)} AS ticks FROM s")
+def det_snap(spark, d):
+    return _with_ticks(signals.snap(as_field(events(spark, d)), AIMED), "snap")
+
+
+@query(f"WITH RECURSIVE {_aimed} SELECT sid AS steamid, round({_ramp(_ratio('flat', 'locked'), 0.15, 0.70)}, 6) AS value, locked AS samples, locked >= 4 AS confident, {_first('stills', 6)} AS ticks FROM s")
+def det_jitter(spark, d):
+    return _with_ticks(signals.snap(as_field(events(spark, d)), AIMED), "jitter")
+
+
+#: Thresholds under which aims follow an enemy for some ticks, with and without an action near.
+FOLLOWING = Params(tracking=Tracking(lock_deg=50, min_distance=900, min_lock_ticks=2, ignore_window_ticks=1, min_target_travel_deg=40), tickrate=4.0)
+
+_followed = f"""{FIELD},
+seen AS (
+  SELECT a.sid, b.sid AS enemy, a.t, degrees(atan2(b.y - a.y, b.x - a.x)) AS yaw, a.t - row_number() OVER (PARTITION BY a.sid, b.sid ORDER BY a.t) AS island
+  FROM f a JOIN f b ON b.t = a.t AND b.sid % 2 <> a.sid % 2 AND a.alive AND b.alive AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) >= 900 AND {AIM} <= 50),
+rows AS (SELECT *, row_number() OVER b AS i, max(t) OVER (PARTITION BY sid, enemy, island) - min(t) OVER (PARTITION BY sid, enemy, island) + 1 AS long FROM seen WINDOW b AS (PARTITION BY sid, enemy, island ORDER BY t)),
+acts AS (SELECT DISTINCT sid, t FROM (SELECT sid, t FROM f WHERE kind IN ('click', 'purchase') UNION ALL SELECT victim, kt FROM kills)),
+fold AS (
+  SELECT sid, enemy, island, i, t, yaw, true AS is_on, t AS start, 0.0::DOUBLE AS travel, false AS counted, 0 AS new, 0 AS locked FROM rows WHERE i = 1 AND long >= 2
+  UNION ALL
+  SELECT sid, enemy, island, i, t, yaw, NOT (ripe AND near), CASE WHEN is_on THEN start ELSE t END, CASE WHEN is_on THEN way ELSE 0 END, is_on AND (counted OR (ripe AND NOT near)), CAST(ripe AND NOT near AS INTEGER),
+    CASE WHEN is_on AND counted THEN 1 WHEN ripe AND NOT near THEN t - start + 1 ELSE 0 END
+  FROM (
+    SELECT r.sid, r.enemy, r.island, r.i, r.t, r.yaw, p.is_on, p.start, p.counted, p.travel + {_between('0', 'p.yaw', '0', 'r.yaw')} AS way,
+      p.is_on AND NOT p.counted AND r.t - p.start + 1 >= 2 AND p.travel + {_between('0', 'p.yaw', '0', 'r.yaw')} >= 40 AS ripe,
+      EXISTS (SELECT 1 FROM acts x WHERE x.sid = r.sid AND abs(x.t - p.start) <= 1) AS near
+    FROM fold p JOIN rows r ON r.sid = p.sid AND r.enemy = p.enemy AND r.island = p.island AND r.i = p.i + 1)),
+told AS (SELECT sid, start, row_number() OVER (PARTITION BY sid ORDER BY t, 'user ' || enemy) AS n FROM fold WHERE new = 1),
+c AS (SELECT sid, sum(new) AS episodes, sum(locked) AS locked FROM fold GROUP BY 1),
+s AS (
+  SELECT p.sid, coalesce(episodes, 0) AS episodes, coalesce(locked, 0) AS locked, (SELECT count(*) FROM f WHERE f.sid = p.sid AND alive) AS living, (SELECT count(DISTINCT t // 20) FROM f) AS rounds,
+    coalesce((SELECT string_agg(start, ',' ORDER BY n) FROM told WHERE told.sid = p.sid AND n <= 8), '') AS ticks
+  FROM players p LEFT JOIN c ON c.sid = p.sid)"""
+
+
+@query(f"WITH RECURSIVE {_followed} SELECT sid AS steamid, round(greatest({_ramp(_ratio('episodes', 'rounds'), 0.10, 0.90)}, 0.8 * {_ramp(_ratio('locked', 'living'), 0.003, 0.04)}), 6) AS value, CAST(living AS BIGINT) AS samples, living >= 2000 AS confident, ticks FROM s")
+def det_tracking(spark, d):
+    found = signals.tracking(as_field(events(spark, d)), FOLLOWING)
+    return _with_ticks(found, "tracking")
