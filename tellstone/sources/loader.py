@@ -5,14 +5,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Matches
-from . import converters, ingest, replays, server_log
+from . import converters, frames, ingest, replays, server_log
 
 #: Which adapter reads which extension.
 ADAPTERS = {"osr": "osr", "log": "log", "txt": "log", "json": "ingest", "jsonl": "ingest", "ndjson": "ingest", "csv": "ingest"}
 
 
 def load_any(spark: SparkSession, path: str, tickrate: float = 64.0, game: str = "", adapter: str = "") -> Matches:
-    """Matches of path; adapter (osr, log, ingest, telemetry, dissect) overrides the extension."""
+    """Matches of path; adapter (osr, log, ingest, telemetry, dissect, frames, frames_csv) overrides the extension."""
     kind = adapter or ADAPTERS.get(path.rstrip("/").rpartition(".")[2].lower(), "")
     if kind == "osr":
         return replays.load(spark, path)
@@ -20,6 +20,8 @@ def load_any(spark: SparkSession, path: str, tickrate: float = 64.0, game: str =
         return server_log.load(spark, path, tickrate, game or "cs2")
     if kind == "ingest":
         return ingest.load(spark, path, tickrate, game or "unknown")
+    if kind in ("frames", "frames_csv"):
+        return frames.load(spark, path, tickrate, game or "cs2", "csv" if kind == "frames_csv" else "parquet")
     whole = lambda: spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("match_id"), "value")
     if kind == "telemetry":
         return converters.telemetry(whole())
