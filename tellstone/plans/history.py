@@ -97,6 +97,38 @@ def pending(players: DataFrame, key: str, checks: DataFrame, check_key: str, che
     return players.join(checks.filter(checked_at >= since).select(F.col(check_key).alias(key)), key, "left_anti")
 
 
+def due(players: DataFrame, key: str, first_seen: str, checks: DataFrame, check_key: str, checked_at: Column, now: Column, min_age: int = 30, cooldown: int = 7, limit: int = 500, chunk: int = 100) -> DataFrame:
+    """The players to look up next, the longest known first, and the number of the request that each goes into.
+
+    They were first seen min_age days ago or earlier and not checked in the
+    last cooldown days; times are in seconds.  A request takes chunk players.
+    """
+    old = players.filter(F.col(first_seen) <= now - min_age * 86400)
+    waiting = pending(old, key, checks, check_key, checked_at, now - cooldown * 86400).orderBy(first_seen, key).limit(limit)  # a list for one run
+    place = F.row_number().over(W.orderBy(first_seen, key)) - 1
+    return waiting.withColumn("request", F.floor(place / chunk))
+
+
+def pairs_report(pairs: DataFrame, least_mean: float = 0.0, limit: int = 50) -> DataFrame:
+    """Pairs of co_occurrence() whose players both have at least that mean, the highest mean of the pair first, then the most matches."""
+    high = pairs.filter(F.least("mean_a", "mean_b") >= least_mean)
+    return high.orderBy(F.desc("pair_mean"), F.desc("together"), "a", "b").limit(limit)  # a top-k report
+
+
+def calibrate(values: DataFrame, name: str, value: str, observations: DataFrame, score: str, percentile: float = 0.99, least: int = 30, high: float = 0.25) -> DataFrame:
+    """distribution() of each signal and of the score (named score), with what to see to.
+
+    high tells signals whose median is over that: what fires for most players
+    says more of the data than of them.  The score's row has the threshold
+    that suggest_threshold() finds and how many observations reach it.
+    """
+    signals = distribution(values, name, value, least).withColumn("high", F.col("p50") > high)
+    scored = distribution(observations.select(F.lit("score").alias("name"), F.col(score).alias("value")), "name", "value", 1).withColumn("high", F.lit(False))
+    cut = suggest_threshold(observations, score, percentile).select("threshold", "above")
+    both = signals.withColumns({"threshold": F.lit(None).cast("double"), "above": F.lit(None).cast("long")})
+    return both.unionByName(scored.join(F.broadcast(cut), how="left"))  # one row each
+
+
 def watch_entries(watched: DataFrame, key: str, observations: DataFrame, player: str, score: str) -> DataFrame:
     """The watched with what was seen of them, those never seen last."""
     seen = observations.groupBy(F.col(player).alias(key)).agg(F.count(F.lit(1)).alias("matches"), F.round(F.avg(score), 8).alias("mean_score"), F.max(score).alias("max_score"))

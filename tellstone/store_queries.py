@@ -223,3 +223,34 @@ def telemetry_links(spark, d):
     answers = _answers(spark, d)
     matches = documents.matches_of(answers, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("matches"))
     return matches.join(documents.telemetry_of(answers, "o_custkey"), "o_custkey", "left")
+
+
+@query("""WITH p AS (SELECT o_custkey AS steamid, epoch(min(o_orderdate))::BIGINT AS first_seen FROM orders GROUP BY 1),
+c AS (SELECT o_custkey, epoch(o_orderdate)::BIGINT AS sec FROM orders), n AS (SELECT epoch(TIMESTAMP '2001-08-15')::BIGINT AS now),
+w AS (SELECT steamid, first_seen, row_number() OVER (ORDER BY first_seen, steamid) AS r FROM p, n WHERE first_seen <= now - 30 * 86400 AND NOT EXISTS (SELECT 1 FROM c WHERE o_custkey = steamid AND sec >= now - 300 * 86400))
+SELECT steamid, first_seen, CAST((r - 1) // 10 AS BIGINT) AS request FROM w WHERE r <= 500""")
+def recheck_due(spark, d):
+    """Players to look up, in requests of ten."""
+    at = lambda c: F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("steamid"), at(F.col("o_orderdate")).alias("at"))
+    players = orders.groupBy("steamid").agg(F.min("at").alias("first_seen"))
+    found = h.due(players, "steamid", "first_seen", orders, "steamid", F.col("at"), at(F.lit("2001-08-15")), 30, 300, 500, 10)
+    return found.select("steamid", "first_seen", "request")
+
+
+@query("""WITH one AS (SELECT l_orderkey, l_suppkey, min(l_returnflag) AS team, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), m AS (SELECT l_suppkey, avg(score) AS mean FROM one GROUP BY 1),
+p AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS together FROM one x JOIN one y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT a, b, together, round((q.mean + r.mean) / 2, 4) AS pair_mean FROM p JOIN m q ON q.l_suppkey = a JOIN m r ON r.l_suppkey = b WHERE least(round(q.mean, 4), round(r.mean, 4)) >= 20 ORDER BY pair_mean DESC, together DESC, a, b LIMIT 50""")
+def pairs_ranked(spark, d):
+    """Suppliers often seen in one order, by the mean of both."""
+    pairs = h.co_occurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_returnflag", "l_quantity", least=3)
+    return h.pairs_report(pairs, 20.0).select("a", "b", "together", "pair_mean")
+
+
+@query("""WITH v AS (SELECT event_type AS name, value / 100 AS value FROM events UNION ALL SELECT 'score', o_totalprice FROM orders),
+s AS (SELECT name, count(value) AS n, round(count_if(value > 0.01) / count(value), 4) AS nonzero, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99, round(max(value), 4) AS max, quantile_cont(value, 0.99) AS q FROM v GROUP BY 1)
+SELECT name, n, nonzero, p50, p90, p99, max, name <> 'score' AND p50 > 0.345 AS high, CASE WHEN name = 'score' THEN round(q, 4) END AS threshold,
+  CASE WHEN name = 'score' THEN (SELECT CAST(count_if(o_totalprice >= q) AS BIGINT) FROM orders) END AS above FROM s""")
+def calibrated(spark, d):
+    """Distributions of signals and score, signals that are high for most, and the threshold to review from."""
+    return h.calibrate(table(spark, d, "events").withColumn("value", F.col("value") / 100), "event_type", "value", table(spark, d, "orders"), "o_totalprice", high=0.345)

@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 from statistics import median, stdev
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -256,6 +256,12 @@ def risk_alerts(records: DataFrame, risks: DataFrame, least: float = 40.0) -> Da
     return found.withColumn("kind", kind).filter("kind is not null").select("match_id", "seq", "kind", "steamid", F.coalesce(F.nullif("_own", F.lit("")), "_name").alias("name"), detail.alias("detail"))
 
 
+def alert_lines(alerts: DataFrame, at: Column) -> DataFrame:
+    """alerts (kind, steamid, name, detail) as lines: the time of day, the kind, who it is about, and the detail."""
+    who = F.coalesce(F.nullif("name", F.lit("")), F.col("steamid").cast("string"))
+    return alerts.select(F.concat(F.lit("["), F.date_format(at, "HH:mm:ss"), F.lit("] "), F.rpad("kind", F.greatest(F.lit(12), F.length("kind")), F.lit(" ")), F.lit(" "), who, F.lit(": "), "detail").alias("value"))
+
+
 def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
     return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
 

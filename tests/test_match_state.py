@@ -170,3 +170,9 @@ def test_new_players_in_groups(spark, tmp_path):
     got = sorted(spark.read.parquet(out).collect(), key=lambda r: (r.match_id, r.number))
     assert [(r.match_id, r.number, r.steamids) for r in got] == [("k", 1, [5]), ("m", 1, list(range(10))), ("m", 2, list(range(10, 20))), ("m", 3, [20, 21, 22])]
     assert got[1].names == [f"n{i}" for i in range(10)]
+
+
+def test_alert_lines(spark):
+    rows = spark.createDataFrame([("risk", 7, "own", "risk 55 - new"), ("risk_error", 8, "", "lookup failed"), ("a_long_kind_of_alert", 9, None, "x")], "kind string, steamid long, name string, detail string")
+    got = [r.value for r in match_state.alert_lines(rows, F.lit("2024-01-15 20:00:05").cast("timestamp")).collect()]
+    assert got == ["[20:00:05] risk         own: risk 55 - new", "[20:00:05] risk_error   8: lookup failed", "[20:00:05] a_long_kind_of_alert 9: x"]
