@@ -67,3 +67,21 @@ def test_recall_of_a_forest():
 
 def test_empty_table(spark):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_recall_of_the_operator(spark):
+    """20,000 vectors of one label with 5,000 planted pairs just above the threshold, under production parameters."""
+    rng = np.random.default_rng(5)
+    base = forest.unit(rng.standard_normal((10_000, 64)))
+    aside = rng.standard_normal((5_000, 64))
+    aside = forest.unit(aside - (aside * base[:5000]).sum(axis=1, keepdims=True) * base[:5000])
+    cosine = rng.uniform(0.9802, 0.985, (5_000, 1))
+    near = cosine * base[:5000] + np.sqrt(1 - cosine**2) * aside
+    rows = np.concatenate([base, near])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(4)
+    linked = {r.vec_id: r.component_id for r in forest.near_vectors(df).filter("n_links > 0").collect()}
+    exact = [(a, b) for k in range(0, len(rows), 1000) for a, b in zip(*np.nonzero(rows[k : k + 1000] @ rows.T >= 0.98), strict=True) for a in [a + k] if a < b]
+    assert len(exact) >= 5_000
+    found = sum(linked.get(a) is not None and linked.get(a) == linked.get(b) for a, b in exact)
+    assert found >= 0.999 * len(exact)
+    assert set(linked) <= {int(x) for pair in exact for x in pair}
