@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tellstone.functions import geometry as g
 from tellstone.params import Params
 from tellstone.plans import score, signals, simulation
 from tellstone.schema import Matches
@@ -111,3 +112,9 @@ def test_geometry(spark):
     assert one.select(g.ramp(F.lit(5.0), 0, 10), g.ramp(F.lit(5.0), 10, 0), g.ramp(F.lit(1.0), 3, 3)).first() == (0.5, 0.5, 0.0)
     v = F.array(*[F.lit(float(x)) for x in (2, 4, 4, 4, 5, 5, 7, 9)])
     assert abs(one.select(g.array_stdev(v)).first()[0] - 2.138) < 1e-3
+
+
+def test_angles_on_a_threshold(spark):
+    """Aims ten degrees up and ten down are twenty apart at every yaw, so a jump back within 20 counts."""
+    rows = spark.range(10_000).select(g.spherical(F.lit(10.0), F.col("id") * 0.036 - 180, F.lit(-10.0), F.col("id") * 0.036 - 180).alias("d"))
+    assert [r.d for r in rows.distinct().collect()] == [20.0]
