@@ -118,3 +118,14 @@ def test_angles_on_a_threshold(spark):
     """Aims ten degrees up and ten down are twenty apart at every yaw, so a jump back within 20 counts."""
     rows = spark.range(10_000).select(g.spherical(F.lit(10.0), F.col("id") * 0.036 - 180, F.lit(-10.0), F.col("id") * 0.036 - 180).alias("d"))
     assert [r.d for r in rows.distinct().collect()] == [20.0]
+
+
+def test_angles_like_the_sql(spark):
+    """Angles of the detectors' SQL and of the queries are the same numbers, so no threshold of snap divides them."""
+    import duckdb
+
+    from tellstone.detector_queries import _between
+
+    rows = spark.range(20_000).select(*[(F.pmod(F.col("id") * k, F.lit(9)) * 10.0 - 40).alias(c) for c, k in (("p", 1), ("q", 5))], *[(F.pmod(F.col("id") * k, F.lit(10_000)) * 0.036 - 180).alias(c) for c, k in (("y", 7), ("z", 31))])
+    got = rows.withColumn("d", g.spherical("p", "y", "q", "z")).toArrow()
+    assert duckdb.sql(f"SELECT count(*) FROM got WHERE d <> {_between('p', 'y', 'q', 'z')}").fetchall() == [(0,)]
