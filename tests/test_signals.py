@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellstone.functions import geometry as g
-from tellstone.params import Params
+from tellstone.params import Params, Tracking
 from tellstone.plans import score, signals, simulation
 from tellstone.schema import Matches
 
@@ -121,11 +121,33 @@ def test_angles_on_a_threshold(spark):
 
 
 def test_angles_like_the_sql(spark):
-    """Angles of the detectors' SQL and of the queries are the same numbers, so no threshold of snap divides them."""
+    """Angles of the detectors' SQL and of the queries are the same numbers but near 0 and 180, where no threshold of snap is."""
     import duckdb
 
     from tellstone.detector_queries import _between
 
     rows = spark.range(20_000).select(*[(F.pmod(F.col("id") * k, F.lit(9)) * 10.0 - 40).alias(c) for c, k in (("p", 1), ("q", 5))], *[(F.pmod(F.col("id") * k, F.lit(10_000)) * 0.036 - 180).alias(c) for c, k in (("y", 7), ("z", 31))])
     got = rows.withColumn("d", g.spherical("p", "y", "q", "z")).toArrow()
-    assert duckdb.sql(f"SELECT count(*) FROM got WHERE d <> {_between('p', 'y', 'q', 'z')}").fetchall() == [(0,)]
+    assert duckdb.sql(f"SELECT count(*) FROM got WHERE d BETWEEN 0.01 AND 179.99 AND d <> {_between('p', 'y', 'q', 'z')}").fetchall() == [(0,)]
+
+
+def _plan(found):
+    return found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def _field(spark):
+    from tellstone.plans.event_stream import as_field
+    from tellstone.queries import events
+
+    return as_field(events(spark, "/root/testdata/sf0.001"))
+
+
+def test_enemies_meet_at_ticks(spark, monkeypatch):
+    """Players are never paired over a whole match, only at a tick; parts of a match's players change nothing."""
+    m, p = _field(spark), Params()
+    assert all("tick" in x for x in _plan(signals.tracking(m, p)) if "Join" in x and "NOT (steamid" in x)
+    p = Params(tracking=Tracking(lock_deg=80, min_distance=100, min_lock_ticks=2, ignore_window_ticks=0, min_target_travel_deg=10))
+    told = lambda: sorted(repr(r) for r in signals.tracking(m, p).filter("name = 'tracking'").collect())
+    whole = told()
+    monkeypatch.setattr(signals, "SIDE", 2)
+    assert told() == whole and "wall_track" in "".join(whole)
