@@ -151,3 +151,8 @@ def test_enemies_meet_at_ticks(spark, monkeypatch):
     whole = told()
     monkeypatch.setattr(signals, "SIDE", 2)
     assert told() == whole and "wall_track" in "".join(whole)
+
+
+def test_prefire_pairs_nobody(spark):
+    plan = _plan(signals.tracking(_field(spark), Params()).filter("name = 'prefire'"))
+    assert not [x for x in plan if "Join" in x and "NOT (steamid" in x]
