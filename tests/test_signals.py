@@ -156,3 +156,7 @@ def test_enemies_meet_at_ticks(spark, monkeypatch):
 def test_prefire_pairs_nobody(spark):
     plan = _plan(signals.tracking(_field(spark), Params()).filter("name = 'prefire'"))
     assert not [x for x in plan if "Join" in x and "NOT (steamid" in x]
+
+
+def test_reaction_spreads_no_kill_over_its_ticks(spark):
+    assert not [x for x in _plan(signals.reaction(_field(spark), Params())) if "explode(sequence((kill_tick" in x]
