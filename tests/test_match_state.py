@@ -176,3 +176,9 @@ def test_alert_lines(spark):
     rows = spark.createDataFrame([("risk", 7, "own", "risk 55 - new"), ("risk_error", 8, "", "lookup failed"), ("a_long_kind_of_alert", 9, None, "x")], "kind string, steamid long, name string, detail string")
     got = [r.value for r in match_state.alert_lines(rows, F.lit("2024-01-15 20:00:05").cast("timestamp")).collect()]
     assert got == ["[20:00:05] risk         own: risk 55 - new", "[20:00:05] risk_error   8: lookup failed", "[20:00:05] a_long_kind_of_alert 9: x"]
+
+
+def test_halves_of_risks_are_even(spark):
+    records = spark.createDataFrame([("m", k, "joined", k, "p", None, None, None, None, None) for k in range(3)], match_state.RECORDS)
+    risks = spark.createDataFrame([(0, "", 40.5, ["x"], None), (1, "", 41.5, ["x"], None), (2, "", 40.51, ["x"], None)], "steamid long, name string, risk double, reasons array<string>, error string")
+    assert sorted(r.detail for r in match_state.risk_alerts(records, risks).collect()) == ["risk 40 - x", "risk 41 - x", "risk 42 - x"]
