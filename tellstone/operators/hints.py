@@ -19,7 +19,8 @@ def first_hint(rows: DataFrame, text: str | Column, hints: DataFrame, name: str,
     Texts are trimmed and compared in lower case, hints as they are; the least
     ordinal counts, whatever its place in the text.  A null text and one
     without a hint have a null key; an empty hint is in every text; null
-    hints are in none, and of hints with equal ordinals the least one counts.
+    hints are in none, and of hints with equal ordinals the one with the least
+    key counts.
     Hints are measured: up to limit bytes they are broadcast and a task makes
     one automaton of them, so a text is read once for all; more of them are
     joined with the stretches of the texts that have a hint's length.
@@ -38,6 +39,10 @@ def first_hint(rows: DataFrame, text: str | Column, hints: DataFrame, name: str,
         import ahocorasick
 
         automaton, always = ahocorasick.Automaton(), None
+
+        def place(best: tuple) -> tuple:
+            return best[0], best[1] is not None, best[1] or ""
+
         for hint, best in shared.value:
             if hint:
                 automaton.add_word(hint, best)
@@ -49,8 +54,8 @@ def first_hint(rows: DataFrame, text: str | Column, hints: DataFrame, name: str,
         def first(value: str | None) -> str | None:
             if value is None:
                 return None
-            best = min((b for _, b in automaton.iter(value)), key=lambda b: b[0], default=None) if some else None
-            if always is not None and (best is None or always[0] < best[0]):
+            best = min((b for _, b in automaton.iter(value)), key=place, default=None) if some else None
+            if always is not None and (best is None or place(always) < place(best)):
                 best = always
             return best[1] if best else None
 

@@ -109,7 +109,7 @@ def many_hints(spark, d):
     return rows.select(((part * 7919 + k * 104729) % 1000003 * 3 + k).alias("ordinal"), hint.alias("hint"), F.concat(F.lit("h"), part, F.lit("."), k).alias("key"))
 
 
-@query(f"""WITH {HINTS_SQL} SELECT p_partkey, (SELECT arg_min(key, ordinal) FROM h WHERE contains(lower(trim(p_name || ' ' || p_type)), hint)) AS hint FROM part""")
+@query(f"""WITH {HINTS_SQL} SELECT p_partkey, (SELECT arg_min(key, (ordinal, key)) FROM h WHERE contains(lower(trim(p_name || ' ' || p_type)), hint)) AS hint FROM part""")
 def hint_many(spark, d):
     """The first of thousands of ordered hints in each part's name and type."""
     from .operators import hints
@@ -118,7 +118,7 @@ def hint_many(spark, d):
     return hints.first_hint(rows, "text", many_hints(spark, d), "hint").select("p_partkey", "hint")
 
 
-@query(f"""WITH {HINTS_SQL} SELECT p_partkey, (SELECT arg_min(key, ordinal) FROM h WHERE contains(lower(trim(p_brand || ' ' || p_name)), hint)) AS launcher FROM part""")
+@query(f"""WITH {HINTS_SQL} SELECT p_partkey, (SELECT arg_min(key, (ordinal, key)) FROM h WHERE contains(lower(trim(p_brand || ' ' || p_name)), hint)) AS launcher FROM part""")
 def hint_launcher(spark, d):
     """The launcher that an installed game's name and publisher hint at."""
     from .plans import catalog

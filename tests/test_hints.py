@@ -50,3 +50,11 @@ def test_launchers(spark):
     listed = spark.createDataFrame([(0, "ubi", "ubisoft"), (1, "electronic arts", "ea")], "ordinal int, hint string, key string")
     rows = spark.createDataFrame([("FIFA", "Electronic Arts"), ("Far Cry", "Ubisoft"), ("x", None), (None, "UBI")], "name string, publisher string")
     assert [r.launcher for r in catalog.launcher(rows, listed).orderBy(F.col("launcher").desc_nulls_last(), "name").collect()] == ["ubisoft", "ubisoft", "ea", None]
+
+
+@pytest.mark.parametrize("limit", [hints.MOST_BYTES, 0])
+def test_equal_ordinals(spark, limit):
+    """The least key counts, not the hint that comes first in the text."""
+    listed = spark.createDataFrame([(1, "b", "k2"), (1, "a", "k3"), (1, "c", "k1")], "ordinal int, hint string, key string")
+    rows = spark.createDataFrame([("abc",), ("ab",), ("a",)], "text string")
+    assert {r.text: r.k for r in hints.first_hint(rows, "text", listed, "k", limit).collect()} == {"abc": "k1", "ab": "k2", "a": "k3"}
