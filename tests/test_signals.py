@@ -160,3 +160,12 @@ def test_prefire_pairs_nobody(spark):
 
 def test_reaction_spreads_no_kill_over_its_ticks(spark):
     assert not [x for x in _plan(signals.reaction(_field(spark), Params())) if "explode(sequence((kill_tick" in x]
+
+
+def test_means_at_a_half(spark, tmp_path):
+    """The mean of 0.01, 0.35, 0.1 and 0.2 is 0.165, whose hundredth is 0.0017, in whatever order they are added."""
+    from tellstone import queries
+
+    rows = spark.createDataFrame([(k, 1, "purchase", v, '{"k": 1}') for k, v in enumerate((0.01, 0.35, 0.1, 0.2))], "event_id long, user_id long, event_type string, value double, props string")
+    rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.value for r in queries._event_signals(spark, str(tmp_path)).collect()] == [0.0017]
