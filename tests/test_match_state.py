@@ -182,3 +182,22 @@ def test_halves_of_risks_are_even(spark):
     records = spark.createDataFrame([("m", k, "joined", k, "p", None, None, None, None, None) for k in range(3)], match_state.RECORDS)
     risks = spark.createDataFrame([(0, "", 40.5, ["x"], None), (1, "", 41.5, ["x"], None), (2, "", 40.51, ["x"], None)], "steamid long, name string, risk double, reasons array<string>, error string")
     assert sorted(r.detail for r in match_state.risk_alerts(records, risks).collect()) == ["risk 40 - x", "risk 41 - x", "risk 42 - x"]
+
+
+def test_players_are_looked_up_once_a_batch():
+    """However many kills a batch has, the state is asked and told once for each player."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    machine = match_state.LiveMatch(P, 0.6, 60)
+    state = {k: MagicMock() for k in ("clock", "rounds", "kills", "players", "roster", "reported")}
+    for s in state.values():
+        s.exists.return_value, s.getValue.return_value, s.containsKey.return_value = False, None, False
+    machine.handle = MagicMock(listTimers=lambda: iter(()))
+    machine.__dict__.update(state)
+    line = dict.fromkeys(f.split(" ")[0] for f in match_state.LINES.split(", ")) | {"match_id": "m", "tag": "kill", "attacker": 1, "attacker_name": "a", "victim": 2, "victim_name": "b", "weapon": "w", "headshot": False}
+    out = list(machine.handleInputRows(("m",), iter([Row(**(line | {"seq": k, "at": k * 60})) for k in range(50)]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)))
+    assert [(r.kind, r.steamid) for r in out if r.kind == "joined"] == [("joined", 1), ("joined", 2)]
+    assert [state[k].getValue.call_count for k in ("players", "roster")] == [2, 2] == [state[k].updateValue.call_count for k in ("players", "roster")]
