@@ -36,9 +36,24 @@ ALIASES = {
 KINDS = {"tick": "tick", "ticks": "tick", "kill": "kill", "kills": "kill", "death": "kill", "shot": "shot", "shots": "shot", "weapon_fire": "shot", "round": "round", "rounds": "round", "meta": "meta"}
 
 
-def field(name: str, record: str = "record") -> Column:
-    """A field of a JSON record, as text, by any of its names."""
-    return F.coalesce(*[F.get_json_object(record, f"$.{a}") for a in ALIASES.get(name, (name,))])
+#: The fields of each kind of record.
+FIELDS = {
+    "tick": ("tick", "steamid", "x", "y", "z", "pitch", "yaw", "is_alive", "team", "health", "round", "keys", "name"),
+    "kill": ("tick", "attacker", "victim", "weapon", "headshot", "round", "noscope", "through_smoke", "penetrated"),
+    "shot": ("tick", "steamid", "attacker", "weapon", "round"),
+    "round": ("number", "start_tick", "end_tick"),
+}
+
+
+def fields(rows: DataFrame, names: tuple[str, ...], record: str = "record") -> DataFrame:
+    """rows with fields of their JSON record, as text, by any of their names, in columns that begin with f_.
+
+    A record is parsed once for all fields and names; a generator, so that no filter on a field parses it again.
+    """
+    keys = list(dict.fromkeys(a for name in names for a in ALIASES.get(name, (name,))))
+    rows = rows.select("*", F.json_tuple(record, *keys).alias(*[f"_{i}" for i in range(len(keys))]))
+    found = {f"f_{name}": F.coalesce(*[F.col(f"_{keys.index(a)}") for a in ALIASES.get(name, (name,))]) for name in names}
+    return rows.withColumns(found).drop(*[f"_{i}" for i in range(len(keys))])
 
 
 def build(records: DataFrame, tickrate: float = 64.0, game: str = "unknown") -> Matches:
@@ -51,23 +66,25 @@ def build(records: DataFrame, tickrate: float = 64.0, game: str = "unknown") ->
     """
     one = records.select("match_id", "seq", "kind", "record")
     of = lambda k: one.filter(F.col("kind") == k)
-    ticks = of("tick").select(
+    parsed = lambda k: fields(of(k), FIELDS[k])
+    field = lambda name: F.col(f"f_{name}")
+    ticks = parsed("tick").select(
         "match_id", "seq", exact_int(field("tick")).cast("int").alias("tick"), exact_int(field("steamid")).alias("steamid"),
         *[number(field(k)).alias(k) for k in ("x", "y", "z", "pitch", "yaw")], F.coalesce(truth(field("is_alive")), F.lit(True)).alias("alive0"), field("is_alive").alias("alive_text"),
         F.coalesce(team(field("team")), F.lit(0)).alias("team"), exact_int(field("health"), 100).cast("int").alias("health"), exact_int(field("round")).cast("int").alias("round_num"), exact_int(field("keys")).cast("int").alias("keys"),
         field("name").alias("name"), (field("pitch").isNotNull() | field("yaw").isNotNull()).alias("angles"), field("x").isNotNull().alias("positions"), field("keys").isNotNull().alias("keyed"),
     ).filter("steamid <> 0").withColumn("is_alive", F.when(F.col("alive_text").isNull(), True).otherwise(F.col("alive0"))).drop("alive0", "alive_text")
-    flag = lambda k: F.get_json_object("record", f"$.{k}")
-    kills = of("kill").select(
+    kills = parsed("kill").select(
         "match_id", "seq", exact_int(field("tick")).cast("int").alias("tick"), exact_int(field("attacker")).alias("attacker"), exact_int(field("victim")).alias("victim"), F.coalesce(field("weapon"), F.lit("")).alias("weapon"), truth(field("headshot")).alias("headshot"),
-        exact_int(field("round")).cast("int").alias("round_num"), truth(flag("noscope")).alias("noscope"), truth(flag("through_smoke")).alias("through_smoke"), exact_int(flag("penetrated")).cast("int").alias("penetrated"),
-        (flag("noscope").isNotNull() | flag("through_smoke").isNotNull() | flag("penetrated").isNotNull()).alias("flagged"),
+        exact_int(field("round")).cast("int").alias("round_num"), truth(field("noscope")).alias("noscope"), truth(field("through_smoke")).alias("through_smoke"), exact_int(field("penetrated")).cast("int").alias("penetrated"),
+        (field("noscope").isNotNull() | field("through_smoke").isNotNull() | field("penetrated").isNotNull()).alias("flagged"),
     ).filter("attacker <> 0 and victim <> 0")
     shooter = F.coalesce(F.nullif(exact_int(field("steamid")), F.lit(0).cast("bigint")), exact_int(field("attacker")))
-    shots = of("shot").select("match_id", "seq", exact_int(field("tick")).cast("int").alias("tick"), shooter.alias("steamid"), F.coalesce(field("weapon"), F.lit("")).alias("weapon"), exact_int(field("round")).cast("int").alias("round_num")).filter("steamid <> 0")
+    shots = parsed("shot").select("match_id", "seq", exact_int(field("tick")).cast("int").alias("tick"), shooter.alias("steamid"), F.coalesce(field("weapon"), F.lit("")).alias("weapon"), exact_int(field("round")).cast("int").alias("round_num")).filter("steamid <> 0")
     place = F.row_number().over(W.partitionBy("match_id").orderBy("seq"))
-    rounds = of("round").withColumn("_n", place).select("match_id", F.coalesce(exact_int(field("number"), 0), F.lit(0)).alias("n0"), "_n", exact_int(field("start_tick")).cast("int").alias("start_tick"), exact_int(field("end_tick"), OPEN_END).cast("int").alias("end_tick"), field("number").isNull().alias("unnumbered"))
+    rounds = parsed("round").withColumn("_n", place).select("match_id", F.coalesce(exact_int(field("number"), 0), F.lit(0)).alias("n0"), "_n", exact_int(field("start_tick")).cast("int").alias("start_tick"), exact_int(field("end_tick"), OPEN_END).cast("int").alias("end_tick"), field("number").isNull().alias("unnumbered"))
     rounds = rounds.select("match_id", F.when(F.col("unnumbered"), F.col("_n")).otherwise(F.col("n0")).cast("int").alias("number"), "start_tick", "end_tick")
+    flag = lambda k: F.get_json_object("record", f"$.{k}")
     meta = of("meta").select("match_id", "seq", F.coalesce(flag("map"), flag("map_name")).alias("map_name"), flag("game").alias("game"), flag("tickrate").try_cast("double").alias("tickrate"), F.from_json(flag("players"), "map<string,string>").alias("named"))
     named = meta.select("match_id", "seq", F.explode("named").alias("k", "name")).select("match_id", "seq", exact_int("k").alias("steamid"), "name", F.lit(0).alias("team")).filter("steamid <> 0")
     seen = named.unionByName(ticks.select("match_id", "seq", "steamid", F.coalesce("name", F.col("steamid").cast("string")).alias("name"), "team"))
@@ -85,8 +102,8 @@ def build(records: DataFrame, tickrate: float = 64.0, game: str = "unknown") ->
 
 def json_lines(lines: DataFrame) -> DataFrame:
     """Records of lines (match_id, seq, value); empty lines and those from # on are passed over, others must be JSON of a known kind."""
-    text = F.trim("value")
-    rows = lines.filter((text != "") & ~text.startswith("#")).withColumn("record", text)
+    # Out of a generator, so that a filter on what a record says doesn't compute its text again.
+    rows = lines.select("*", F.explode(F.array(F.trim("value"))).alias("record")).filter((F.col("record") != "") & ~F.col("record").startswith("#"))
     known = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     said = F.lower(F.coalesce(F.get_json_object("record", "$.type"), F.get_json_object("record", "$.kind"), F.lit("tick")))
     bad = F.get_json_object("record", "$").isNull()

@@ -159,3 +159,13 @@ def test_key_values():
     assert valve.parse_text('"a" { "b" "c"') == {"a": {"b": "c"}} and valve.parse_text('"a" "b') == {}
     whole = b"\x00t\x00\x01n\x00v\x00\x02k\x00\x05\x00\x00\x00\x08\x08"
     assert valve.parse_binary(whole) == {"t": {"n": "v", "k": 5}} and valve.parse_binary(whole[:12]) == {}
+
+
+def test_a_record_is_parsed_once_for_its_fields(spark):
+    """Nor is the text of a record computed again by the filters on its kind and its player."""
+    text = F.to_json(F.struct(F.lit("tick").alias("type"), F.col("id").alias("frame"), F.lit(7).alias("uid"), F.lit(" ct ").alias("side"), F.lit(None).cast("string").alias("alive")))
+    lines = spark.range(3).select(F.lit("m").alias("match_id"), F.col("id").alias("seq"), text.alias("value"))
+    ticks = ingest.build(ingest.json_lines(lines)).ticks
+    assert [(r.tick, r.steamid, r.team, r.is_alive, r.health, r.x) for r in ticks.orderBy("seq").collect()] == [(k, 7, 3, True, 100, 0.0) for k in range(3)]
+    plan = ticks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1 and "steam_id" in plan and "$.steam_id" not in plan
