@@ -201,3 +201,24 @@ def test_players_are_looked_up_once_a_batch():
     out = list(machine.handleInputRows(("m",), iter([Row(**(line | {"seq": k, "at": k * 60})) for k in range(50)]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)))
     assert [(r.kind, r.steamid) for r in out if r.kind == "joined"] == [("joined", 1), ("joined", 2)]
     assert [state[k].getValue.call_count for k in ("players", "roster")] == [2, 2] == [state[k].updateValue.call_count for k in ("players", "roster")]
+
+
+def test_rounds_without_kills(spark, tmp_path):
+    """The state of rounds gives those of the whole state, in three batches, and gets few lines of a match."""
+    rows = table(spark, {f"m{k}": ["noise", *match_lines(k, rounds=30)] for k in range(4)})
+    batches = [rows.filter("seq < 9"), rows.filter("seq >= 9 and seq < 30"), rows.filter("seq >= 30")]
+    whole, checkpoint = streamed(spark, tmp_path / "whole", batches)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "c")
+    for part in batches:
+        part.coalesce(1).write.mode("append").json(folder)
+        stream = spark.readStream.schema("match_id string, seq long, value string").json(folder)
+        got = live.drain(match_state.live_rounds(match_state.tagged(stream), P), out, timers=True)
+    plain = lambda found: sorted(map(repr, found))
+    assert plain(got.collect()) == plain(r for r in whole if r.kind == "round") and got.count() > 100
+    assert plain(match_state.rounds_of(spark, f"{out}/state").collect()) == plain(match_state.snapshot(spark, checkpoint, P).rounds.collect())
+
+    tags = match_state.tagged(rows).coalesce(1)
+    n = {r.tag: r["count"] for r in tags.groupBy("tag").count().collect()}
+    few = {r.tag: r["count"] for r in match_state.thinned(tags, ("round",)).groupBy("tag").count().collect()}
+    assert n["kill"] > 400 and few["kill"] <= 16 and few[None] <= 16 and few["round"] == n["round"]
+    assert {r.match_id: r.seq for r in match_state.thinned(tags, ("round",)).filter("tag = 'kill'").groupBy("match_id").agg(F.min("seq").alias("seq")).collect()} == {r.match_id: r.seq for r in tags.filter("tag = 'kill'").groupBy("match_id").agg(F.min("seq").alias("seq")).collect()}
