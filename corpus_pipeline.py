@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellstone.llm import decontaminate, jaccard, pieces, quality, recompression, scratch
+from tellstone.llm import decontaminate, jaccard, pieces, quality, recompression, scratch, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,10 +19,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    Near copies have a Jaccard similarity of 0.8 or more in shingles of five
-    words; fingerprints of 64 bits don't reach them, so MinHash bands do.
+    Near copies are what op2's operator links, SimHash fingerprints with four
+    or fewer differing bits.  These don't reach most texts with a Jaccard
+    similarity of 0.8 in shingles of five words, which MinHash bands link too.
     """
-    return jaccard.one_of_each(docs).select(COLUMNS)
+    prints = simhash.with_components(scratch.stored(simhash.fingerprints(docs)))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint"))
+    return jaccard.one_of_each(docs, near=prints.select("text_hash", group.alias("group"))).select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,15 +292,26 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int =
     return found.unionByName(verified(others, sets, similarity))
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", near: DataFrame | None = None) -> DataFrame:
     """docs with one row of each component of near copies, that with the smallest doc_id; all columns kept.
 
     Near copies are texts whose sets of shingles have that Jaccard similarity.
     Words are bytes between white space, A-Z in lower case; shorter texts are
-    one shingle, and texts without words (or null) are equal.  Nulls come last;
-    of rows with the same id, that with the smallest text hash stays, and of
-    equal ones any.
+    one shingle, and texts without words (or null) are equal.  near (text_hash,
+    group) has what another operator links: texts of a group are near copies
+    too.  Nulls come last; of rows with the same id, that with the smallest
+    text hash stays, and of equal ones any.
     """
     found = stored(signatures(docs, shingle, text))
-    member = components(links(docs, found, similarity, shingle, text))
-    return one_of(docs, grouped(found.select("doc_id", "text_hash", "fingerprint"), member), text)
+    pairs = links(docs, found, similarity, shingle, text)
+    if near is not None:
+        pairs = pairs.select("a", "b").unionByName(group_links(found, near))
+    return one_of(docs, grouped(found.select("doc_id", "text_hash", "fingerprint"), components(pairs)), text)
+
+
+def group_links(found: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b: links of each node of found to the least one of its group in near (text_hash, group)."""
+    texts = found.select("text_hash", F.col("fingerprint").alias("a")).distinct()
+    nodes = stored(texts.join(near.select("text_hash", "group").distinct(), "text_hash").select("group", "a").distinct())
+    least = nodes.groupBy("group").agg(F.min("a").alias("b"), F.max("a").alias("_last")).filter("b < _last").select("group", "b")
+    return joined(nodes, least, ["group"], "inner", F.col("a")).filter("a != b").select("a", "b")

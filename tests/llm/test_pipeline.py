@@ -86,3 +86,13 @@ def test_encoding(steps):
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, DIR)
     assert sorted(map(tuple, got.select("doc_id", "n_tokens").collect())) == sorted(map(tuple, steps[5].select("doc_id", "n_tokens").collect()))
+
+
+def test_near_copies_by_simhash(spark):
+    """Texts that differ in a short tail after many repeats have near fingerprints, though few shingles in common."""
+    body = " ".join(f"w{k}" for k in range(21)) + " "
+    tail = lambda n: " ".join(f"{n}{k}" for k in range(8))
+    rows = [(1, body * 60 + tail("a")), (2, body * 60 + tail("b")), (3, body + tail("c")), (4, tail("d") + " " + tail("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(set(components(rows).values())) == 4
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, DIR).collect()) == [1, 3, 4]
