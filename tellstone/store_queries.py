@@ -11,7 +11,7 @@ from .functions import geometry as g
 from .plans import history as h
 from .plans import learn, plugins
 from .plans.event_stream import as_match
-from .queries import E, _shared, events, query, table
+from .queries import E, _shared, events, query, shown, table
 
 CHECKS = """c AS (SELECT o_custkey AS steamid, o_orderdate AS at, CAST(o_totalprice > 250000 AS INTEGER) AS vac_banned, CAST(o_orderkey % 7 = 0 AS INTEGER) AS game_bans,
 CAST(date_diff('day', o_orderdate, TIMESTAMP '2001-01-01') AS INTEGER) AS days_since_ban, 0 AS community_ban FROM orders)"""
@@ -75,12 +75,12 @@ def _share_of_kills(frames, params):
 
 
 @query(f"""WITH {E}, c AS (SELECT user_id, count_if(event_type = 'purchase') AS kills, count_if(event_type IN ('purchase', 'click')) AS n, count(DISTINCT CASE WHEN event_type = 'purchase' THEN day END) AS active, (SELECT count(DISTINCT day) FROM e) AS rounds FROM e GROUP BY 1)
-SELECT user_id AS steamid, 'kill_share' AS name, round(coalesce(kills / nullif(n, 0), 0), 6) AS value, CAST(n AS BIGINT) AS samples, n >= 20 AS confident FROM c
-UNION ALL SELECT user_id, 'active_rounds', round(active / rounds, 6), rounds, true FROM c""")
+SELECT user_id AS steamid, 'kill_share' AS name, {shown('coalesce(kills / nullif(n, 0), 0)')} AS value, CAST(n AS BIGINT) AS samples, n >= 20 AS confident FROM c
+UNION ALL SELECT user_id, 'active_rounds', {shown('active / rounds')}, rounds, true FROM c""")
 def plugin_tables(spark, d):
     """A user's detector over kills, shots and rounds."""
     found = plugins.register("shares", {"kills"}, ("kill_share", "active_rounds"), _share_of_kills, ("kills", "shots", "rounds"))
-    return found.plan(as_match(events(spark, d)), None).select("steamid", "name", F.round("value", 6).alias("value"), "samples", "confident")
+    return found.plan(as_match(events(spark, d)), None).select("steamid", "name", g.shown("value").alias("value"), "samples", "confident")
 
 
 @query("""WITH r AS (SELECT d.doc_id % 100 AS player, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS label, round_even(100 / (1 + exp(-(0.5::DOUBLE - 3.0::DOUBLE * least(1.0, n_chars / 5000.0::DOUBLE)))), 1) AS score FROM documents d JOIN labels USING (doc_id)),

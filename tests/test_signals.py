@@ -169,3 +169,35 @@ def test_means_at_a_half(spark, tmp_path):
     rows = spark.createDataFrame([(k, 1, "purchase", v, '{"k": 1}') for k, v in enumerate((0.01, 0.35, 0.1, 0.2))], "event_id long, user_id long, event_type string, value double, props string")
     rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert [r.value for r in queries._event_signals(spark, str(tmp_path)).collect()] == [0.0017]
+
+
+def test_snap_at_a_half(spark, tmp_path):
+    """69 of 128 fights with an aim that turns by 180 degrees make 0.6146875, whose sixth place goes up, in the query and its SQL."""
+    import duckdb
+
+    from tellstone import queries
+
+    rows = []
+    for t in range(128 * 24):
+        fight, at = divmod(t, 24)
+        rows.append((2 * t, t, 0, "purchase" if at == 12 else "view", 0.0 if at == 12 and fight < 69 else 50.0, '{"k": 4}'))
+        rows.append((2 * t + 1, t, 1, "view", 50.0, '{"k": 94}'))
+    made = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    made.select("event_id", "user_id", "event_type", "value", "props", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(queries.oracle_sql()["det_snap"]).fetchall())
+    assert [r[1] for r in want] == [0.614688, 0.0]
+    assert sorted(tuple(r) for r in queries.queries()["det_snap"](spark, str(tmp_path)).collect()) == want
+
+
+def test_values_are_shown_like_the_sql(spark):
+    """Every share of a whole up to 640, ramped as snap, extreme flicks, prefires and rounds are."""
+    import duckdb
+
+    from tellstone.queries import shown
+
+    shares = spark.range(1, 641).select((F.col("id")).alias("n"), F.explode(F.sequence(F.lit(0), "id")).alias("s")).withColumn("s", F.col("s") / F.col("n"))
+    ramps = F.array(g.ramp("s", 0.05, 0.45), 0.7 * g.ramp("s", 0.10, 0.60), g.ramp("s", 0.15, 0.65), g.ramp("s", 0.10, 0.90))
+    got = shares.select(F.explode(ramps).alias("v")).distinct().select("v", g.shown("v").alias("shown")).toArrow()
+    assert duckdb.sql(f"SELECT count(*), count_if(shown <> {shown('v')}), max(abs(shown - v)) <= 0.5000001e-6 FROM got").fetchall() == [(got.num_rows, 0, True)]
