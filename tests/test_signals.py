@@ -201,3 +201,19 @@ def test_values_are_shown_like_the_sql(spark):
     ramps = F.array(g.ramp("s", 0.05, 0.45), 0.7 * g.ramp("s", 0.10, 0.60), g.ramp("s", 0.15, 0.65), g.ramp("s", 0.10, 0.90))
     got = shares.select(F.explode(ramps).alias("v")).distinct().select("v", g.shown("v").alias("shown")).toArrow()
     assert duckdb.sql(f"SELECT count(*), count_if(shown <> {shown('v')}), max(abs(shown - v)) <= 0.5000001e-6 FROM got").fetchall() == [(got.num_rows, 0, True)]
+
+
+def test_match_score_at_a_half(spark, tmp_path):
+    """Sixteen kills, three or four a day, with five wall bangs and five noscopes, score 95.75, shown as the even 95.8 in the query and its SQL."""
+    import duckdb
+
+    from tellstone import queries
+
+    rows = [(n, n % 5 * 86400 + n, 1, "purchase", 1.0, '{"k": %d}' % (1 if n < 5 else 4 if n < 10 else 8)) for n in range(16)]
+    made = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    made.select("event_id", "user_id", "event_type", "value", "props", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["match_scores"])
+    got = queries.queries()["match_scores"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert [r.score for r in got] == [95.8] and [tuple(r) for r in got] == want.fetchall()
