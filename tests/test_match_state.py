@@ -222,3 +222,23 @@ def test_rounds_without_kills(spark, tmp_path):
     few = {r.tag: r["count"] for r in match_state.thinned(tags, ("round",)).groupBy("tag").count().collect()}
     assert n["kill"] > 400 and few["kill"] <= 16 and few[None] <= 16 and few["round"] == n["round"]
     assert {r.match_id: r.seq for r in match_state.thinned(tags, ("round",)).filter("tag = 'kill'").groupBy("match_id").agg(F.min("seq").alias("seq")).collect()} == {r.match_id: r.seq for r in tags.filter("tag = 'kill'").groupBy("match_id").agg(F.min("seq").alias("seq")).collect()}
+
+
+def test_bursts_beyond_six(spark, tmp_path):
+    """A player with a group of kills in each of nine rounds gives an alert for each from the second on, in the query and its SQL."""
+    import duckdb
+
+    from tellstone import queries
+
+    day, rows = 86400, []
+    for r in range(9):
+        at = 10 * r * day
+        rows += [(at, "signup", 7), (at + 60, "purchase", 1), (at + 120, "purchase", 2), (at + 180, "purchase", 3)]
+    made = spark.createDataFrame([(n, t, 4, kind, 1.0, f'{{"k": {k}}}') for n, (t, kind, k) in enumerate(rows)], "event_id long, t long, user_id long, event_type string, value double, props string")
+    made.select("event_id", "user_id", "event_type", "value", "props", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["live_bursts"])
+    got = sorted(tuple(r) for r in queries.queries()["live_bursts"](spark, str(tmp_path)).select(*want.columns).collect())
+    assert [r[want.columns.index("number")] for r in got] == list(range(2, 10)) and got == sorted(want.fetchall())
+    assert len(match_state.pace([(r, 100 * r + k) for r in range(9) for k in range(3)], P)[1]) == 9
