@@ -21,7 +21,7 @@ FOUND = "match_id string, steamid long, episodes long, locked long, items array<
 ITEM = pa.struct([("rn", pa.int32()), ("round", pa.int32()), ("start", pa.int32()), ("travel", pa.float64()), ("span", pa.int32()), ("d", pa.float64()), ("target", pa.string())])
 SCHEMA = pa.schema([("match_id", pa.string()), ("steamid", pa.int64()), ("episodes", pa.int64()), ("locked", pa.int64()), ("items", pa.list_(ITEM))])
 #: Pairs of an aim and an enemy that are held at once, that are computed at once, and below which ticks are taken together.
-HELD, BLOCK, FEW = 1 << 22, 1 << 16, 1 << 8
+HELD, BLOCK, FEW = 1 << 23, 1 << 16, 1 << 8
 
 
 def vector(pitch: np.ndarray, yaw: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,8 +82,13 @@ class _Tile:
         self.when[self.when == len(self.ticks)] = 0
         self.when[self.ticks[self.when] != self.tick] = -1
         self.keys = np.repeat(np.arange(len(self.ticks)), np.diff(self.first)) * n + self.enemy
-        finite = [np.abs(x[np.isfinite(x)]).max(initial=1.0) for x in (self.at, self.place)]
-        self.scale = max(finite)
+        self.scale = max(np.abs(x[np.isfinite(x)]).max(initial=1.0) for x in (self.at, self.place))
+        self.odd = ~np.isfinite(np.vstack([self.at, self.look])).all(0)
+        self.odd_places = np.add.reduceat(~np.isfinite(self.place).all(0), first, dtype=np.int64)
+        # Products of these are how far an enemy is ahead, and the square of its distance.
+        one = lambda x: np.ones((1, x.shape[1]))
+        self.ahead = np.vstack([self.look, -(self.look * self.at).sum(0)]).T.copy(), np.vstack([self.place, one(self.place)])
+        self.square = np.vstack([-2 * self.at, (self.at**2).sum(0), one(self.at)]).T.copy(), np.vstack([self.place, one(self.place), (self.place**2).sum(0)])
 
     def offset(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(self.place[k, place] - self.at[k, row] for k in range(3))
@@ -102,8 +107,9 @@ class _Tile:
         here, begin = np.unique(self.when[rows], return_index=True)
         end = np.append(begin[1:], len(rows))
         there = self.first[here + 1] - self.first[here]
-        few = (end - begin) * there < FEW
-        # Ticks with few pairs are taken together.
+        # Ticks with few pairs are taken together, and so are those where a place or an aim is no number.
+        odd = np.add.reduceat(self.odd[rows], begin) > 0 if len(rows) else np.zeros(0, bool)
+        few = ((end - begin) * there < FEW) | odd | (self.odd_places[here] > 0)
         some = np.repeat(few, end - begin)
         row, count = rows[some], np.repeat(there, end - begin)[some]
         for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(count) // BLOCK)) + 1):
@@ -120,28 +126,26 @@ class _Tile:
 
     def _tick(self, out: np.ndarray, low: int, rows: np.ndarray, first: int, last: int) -> None:
         """aimed() at a tick: products of matrices tell nearly all pairs; what is close to a limit goes by the formulas."""
-        b, enemy = self.place[:, first:last], self.enemy[first:last]
+        enemy = self.enemy[first:last]
         cos, least = np.cos(np.radians(min(180.0, max(0.0, self.c.lock_deg)))), max(0.0, self.c.min_distance) ** 2
         slack, close = 1e-9 * self.scale, 1e-12 * self.scale**2
         sure = max(least + close, 1e-6 * self.scale**2)
-        ahead_b, square_b = np.vstack([b, np.ones(last - first)]), np.vstack([b, np.ones(last - first), (b * b).sum(0)])
         size = max(1, BLOCK // (last - first))
         for i in range(0, len(rows), size):
             mine = rows[i : i + size]
-            a, v = self.at[:, mine], self.look[:, mine]
-            ahead = np.vstack([v, -(v * a).sum(0)]).T @ ahead_b
-            square = np.vstack([-2 * a, (a * a).sum(0), np.ones(len(mine))]).T @ square_b
-            far, on = square >= sure, ~(square < least - close)
-            np.maximum(square, 0.0, out=square)
+            ahead = self.ahead[0][mine] @ self.ahead[1][:, first:last]
+            square = self.square[0][mine] @ self.square[1][:, first:last]
+            yes, on = square >= sure, square >= least - close
+            if least <= close:
+                np.maximum(square, 0.0, out=square)
             np.sqrt(square, out=square)
             square *= cos
             ahead -= square
-            yes = ahead >= slack
-            yes &= far
-            on &= ~(ahead < -slack)
+            yes &= ahead >= slack
+            on &= ahead >= -slack
             on ^= yes
-            x, y = np.nonzero(on)
-            if len(x):
+            if on.any():
+                x, y = np.nonzero(on)
                 yes[x, y] = self.locks(mine[x], first + y)
             if len(enemy) == out.shape[1]:
                 out[mine - low] = yes
@@ -155,8 +159,10 @@ class _Tile:
         on[:] = False
         on[1:] = after
         on[:-1] |= after
-        row, enemy = np.divmod(np.flatnonzero(on), on.shape[1])
-        pair = self.who[low + row] * on.shape[1] + enemy
+        at, n = np.flatnonzero(on), on.shape[1]
+        row = at // n
+        enemy = at - row * n
+        pair = self.who[low + row] * n + enemy
         order = np.argsort(pair, kind="stable")
         row, enemy, pair = low + row[order], enemy[order], pair[order]
         new = np.ones(len(row), bool)
@@ -167,6 +173,15 @@ class _Tile:
         """Rows, enemies, starts, ways and spans of the episodes, and the locked ticks by player."""
         c = self.c
         row, enemy, new = self.runs(low, high)
+        # An episode begins at a row that has no act near and isn't its run's last; other runs need no angles.
+        able = ~self.near[row]
+        able[:-1] &= ~new[1:]
+        able[-1:] = False
+        keep = np.zeros(0, bool)
+        if len(row):
+            at = np.flatnonzero(new)
+            keep = np.repeat(np.logical_or.reduceat(able, at), np.diff(np.append(at, len(row))))
+        row, enemy, new = row[keep], enemy[keep], new[keep]
         place = np.searchsorted(self.keys, self.when[row] * len(self.enemies) + enemy)
         to = towards(*self.offset(row, place))
         way = np.zeros(len(row))
